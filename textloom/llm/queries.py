@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from textloom.llm import tokens
+from textloom.llm import langid, tokens, toxicity
 
-QUERIES = {"op4_token_counts": tokens.op4_token_counts}
+QUERIES = {
+    "op2_language_id": langid.op2_language_id,
+    "op4_token_counts": tokens.op4_token_counts,
+    "op10_toxicity": toxicity.op10_toxicity,
+}
 ORACLES: dict[str, str] = {}
