@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.llm import langid, tokens, toxicity
+from textloom.llm import langid, pieces, tokens, toxicity
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
     "op4_token_counts": tokens.op4_token_counts,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {}

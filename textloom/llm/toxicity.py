@@ -16,7 +16,8 @@ from textloom.llm.langid import bounded_sample
 BITS = 20
 #: The classifier is fitted on about so many labelled documents of each class, and so many first characters of each.
 FIT_DOCS, FIT_CHARS = 4000, 20000
-ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 2.0, 1.0, 3
+#: L1 grows with the fitting documents: a coordinate's gradients add up over them.
+ALPHA, BETA, L1_A_DOC, L2, EPOCHS = 1.0, 1.0, 0.003, 0.1, 5
 CHUNK = 1 << 20
 
 
@@ -42,12 +43,13 @@ def distinct(feature: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Ftrl:
     """Per-coordinate rates and L1 sparsity; the last weight is the intercept, which has no L1."""
 
-    def __init__(self) -> None:
+    def __init__(self, docs: int) -> None:
+        self.l1 = L1_A_DOC * docs
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z = self.z[at]
-        l1 = np.where(at == 1 << BITS, 0.0, L1)
+        l1 = np.where(at == 1 << BITS, 0.0, self.l1)
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
 
     def update(self, at: np.ndarray, y: int) -> None:
@@ -85,7 +87,7 @@ def learn(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
     values, offs = lists.values.to_numpy(), lists.offsets.to_numpy()
     keys = np.array([hash(str(k)) if not isinstance(k, int) else k for k in table["k"].to_pylist()], np.int64)
     order = np.lexsort((keys, mix(keys.astype(np.uint64) + np.uint64(7))))
-    model = Ftrl()
+    model = Ftrl(len(y))
     for _ in range(EPOCHS):
         for i in order.tolist():
             model.update(np.append(values[offs[i] : offs[i + 1]], 1 << BITS), int(y[i]))
