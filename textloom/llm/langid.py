@@ -187,22 +187,32 @@ def join(models: list[Model]) -> Model:
     return out
 
 
-def _fill(model: Model, samples: dict[str, list[str]]) -> None:
-    """Write into the joint table what a language backs off to for n-grams that only others have seen."""
-    codes, _ = letters([t for ts in samples.values() for t in ts])
-    orders, _ = _ordered(codes)
-    for n in range(1, ORDER + 1):
-        table, keys = model.logp[n - 1], model.keys[n - 1]
-        hit, at = _find(keys, orders[n - 1])
-        row, first = np.unique(at[hit], return_index=True)
-        where = np.flatnonzero(hit)[first]
-        low = log_prob(model, [x[where] for x in orders], n - 1).copy()
-        if n > 1:
-            seen, c = _find(model.ctx[n - 1], orders[ORDER + n - 2][where])
-            low[seen] += model.back[n - 1][c[seen]]
-        else:
-            low += model.back[0][0]
-        table[row] = np.where(np.isnan(table[row]), low, table[row])
+def _fill(model: Model, texts: list[str], most: int = 1 << 17) -> None:
+    """Write into the joint table what a language backs off to for n-grams that only others have seen. Works through the fitting texts, so that each n-gram comes with its context."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size < most):
+            size += len(texts[to])
+            to += 1
+        codes, _ = letters(texts[at:to])
+        orders, _ = _ordered(codes)
+        at = to
+        for n in range(1, ORDER + 1):
+            table = model.logp[n - 1]
+            hit, row = _find(model.keys[n - 1], orders[n - 1])
+            row, first = np.unique(row[hit], return_index=True)
+            where = np.flatnonzero(hit)[first]
+            some = np.isnan(table[row]).any(axis=1)
+            row, where = row[some], where[some]
+            low = log_prob(model, [x[where] for x in orders], n - 1).copy()
+            if n > 1:
+                seen, c = _find(model.ctx[n - 1], orders[ORDER + n - 2][where])
+                low[seen] += model.back[n - 1][c[seen]]
+            else:
+                low += model.back[0][0]
+            table[row] = np.where(np.isnan(table[row]), low, table[row])
+    for table in model.logp:
         np.nan_to_num(table, copy=False, nan=float(model.unseen.min()))
 
 
@@ -243,7 +253,7 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     if not got:
         return Model([])
     model = join([pickle.loads(r["model"]) for r in got])
-    _fill(model, {r["lang"]: r["sample"].decode().split("\0") for r in got})
+    _fill(model, [t for r in got for t in r["sample"].decode().split("\0")])
     if model.size() > MOST_MODEL:
         raise ValueError(f"language models of {model.size()} bytes exceed the broadcast bound; lower FIT_DOCS")
     return model
