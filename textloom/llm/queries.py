@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import langid, pieces, tokens, toxicity
+from textloom.llm import langid, neardup, pieces, tokens, toxicity
 
 QUERIES = {
+    "op1_near_duplicates": neardup.op1_near_duplicates,
     "op2_language_id": langid.op2_language_id,
     "op4_token_counts": tokens.op4_token_counts,
     "op8_sentencepiece": pieces.op8_sentencepiece,
