@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from textloom.llm import langid, neardup, pieces, tokens, toxicity
+from textloom.llm import fixity, langid, neardup, pieces, tokens, toxicity, urlfilter
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
     "op2_language_id": langid.op2_language_id,
     "op4_token_counts": tokens.op4_token_counts,
+    "op6_fixity_audit": fixity.op6_fixity_audit,
+    "op7_url_filter": urlfilter.op7_url_filter,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_fixity_audit": fixity.OP6_SQL, "op7_url_filter": urlfilter.OP7_SQL}
