@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import fixity, langid, neardup, pieces, tokens, toxicity, urlfilter
+from textloom.llm import embeddings, fixity, langid, neardup, pieces, tokens, toxicity, urlfilter
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_fixity_audit": fixity.op6_fixity_audit,
     "op7_url_filter": urlfilter.op7_url_filter,
     "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op9_embedding_near_duplicates": embeddings.op9_embedding_near_duplicates,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {"op6_fixity_audit": fixity.OP6_SQL, "op7_url_filter": urlfilter.OP7_SQL}
