@@ -60,14 +60,16 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def learn(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> tuple[np.ndarray, float]:
-    """Weights and intercept from rows with a text and a label of 0 or 1; other rows teach nothing. Of a key with several labels the highest holds.
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> tuple[np.ndarray, float]:
+    """Weights and intercept from documents with a text and a label of 0 or 1 (a labels row of the same key); other rows teach nothing. Of a key with several labels the highest holds.
 
-    Executors hash a bounded sample of each class; the driver gets at most 2 x FIT_DOCS index lists. The intercept is moved from the sample's class shares to those of all labelled rows.
-    One class or no rows: all weights 0, the intercept gives that class.
+    A bounded sample of each class's label rows (about FIT_DOCS) is chosen first, so only its keys are broadcast and no text is shuffled; executors hash these texts, and the driver gets at most 2 x FIT_DOCS index lists.
+    The intercept is moved from the sample's class shares to those of all labelled rows. One class or no rows: all weights 0, the intercept gives that class.
     """
-    usable = rows.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.substring(F.lower(F.col(text)), 1, FIT_CHARS).alias("text")).where("text is not null and y in (0, 1)")
-    picked, counts = bounded_sample(usable, "y", FIT_DOCS, "k")
+    known = labels.where(F.col(label).cast("int").isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    picked, counts = bounded_sample(known, "y", FIT_DOCS, "k")
+    texts = docs.select(F.col(key).alias("k"), F.substring(F.lower(F.col(text)), 1, FIT_CHARS).alias("text")).where("text is not null")
+    usable = texts.join(F.broadcast(picked), "k").select("k", "y", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +81,7 @@ def learn(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
                 yield pa.RecordBatch.from_arrays([column(part, "k"), column(part, "y"), lists], names=["k", "y", "f"])
 
     kind = dict(usable.dtypes)["k"]
-    table = picked.mapInArrow(hashed, f"k {kind}, y int, f array<int>").toArrow()
+    table = usable.mapInArrow(hashed, f"k {kind}, y int, f array<int>").toArrow()
     y = table["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return np.zeros(1 << BITS, np.float32), (8.0 if len(y) and y[0] == 1 else -8.0)
@@ -127,6 +129,6 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, text: str = "t
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    weights, intercept = learn(docs.join(labels, "doc_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights, intercept = learn(docs, labels.where(~held))
     return score(docs.select("doc_id", held.alias("held_out"), "text"), weights, intercept).drop("text")
