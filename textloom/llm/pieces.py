@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,9 @@ from textloom.llm.base import column, flat, prefix_hash, range_hash, slices
 from textloom.llm.tokens import _safe
 
 #: Bytes of text encoded at once, and the most units and token ids that a worker remembers.
-CHUNK, UNITS, IDS = 2 << 20, 1 << 20, 1 << 22
+CHUNK, UNITS, IDS = 1 << 20, 1 << 19, 1 << 21
+#: Threads of a worker's batches: executors run several workers, and each thread keeps memory of its own.
+THREADS = 2
 #: Kinds of pieces in the protobuf (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Kinds of models in the protobuf (fixed values).
@@ -148,16 +151,19 @@ def encode_flat(raw: np.ndarray, offs: np.ndarray, tok, marker: int, memory: _Me
     return _gather(memory.pool, at[back], n), np.diff(total[np.searchsorted(starts, offs)])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
     """docs with the ids of each text (array<int>); a null or empty text has none. Special strings in a text are plain text; nothing is added or truncated.
 
+    With check, a column of that name tells whether decoding the ids gives the text again (with spaces for U+2581, which the model can't tell from them; null counts as empty).
+
     A docs column named like the new one is replaced; other columns stay. Whole texts are encoded, a chunk of at most CHUNK bytes, or one text, at a time.
     """
-    base = docs.drop(ids)
+    base = docs.drop(ids, *([check] if check else []))
     src = base.withColumn("__text", F.col(text))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + f", `{ids}` array<int>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + f", `{ids}` array<int>" + (f", `{check}` boolean" if check else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         tok, safe = build(path)
         verify(path, PROBES)
         marker, memory = tok.token_to_id("▁"), _Memory()
@@ -169,7 +175,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 else:
                     got, n = _ids(tok, texts.to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(got, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*part.schema.names[:-1], ids])
+                more = []
+                if check:
+                    back = []
+                    for k in range(0, len(part), 64):
+                        back += tok.decode_batch(lists.slice(k, 64).to_pylist(), skip_special_tokens=False)
+                    more = [pa.array([a == b.replace("▁", " ") for a, b in zip(back, texts.to_pylist(), strict=True)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *more], names=[*part.schema.names[:-1], ids, *([check] if check else [])])
 
     return src.mapInArrow(run, schema)
 
@@ -194,10 +206,8 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 def _encoded(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    out = decode(encode(docs, path), path)
-    same = F.col("decoded") == F.coalesce(F.regexp_replace("text", "▁", " "), F.lit(""))
-    return out.select("doc_id", F.size("ids").alias("n_tokens"), same.alias("round_trip"), "ids")
+    out = encode(docs, public_tokenizers.path("piece_bpe_32k.model"), check="round_trip")
+    return out.select("doc_id", F.size("ids").alias("n_tokens"), "round_trip", "ids")
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
