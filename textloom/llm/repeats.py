@@ -287,6 +287,9 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return met.where("kind = 1").select("doc", "start", "size").union(sorted_)
 
 
+NEW = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+
+
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, len(batch), 512):
@@ -311,30 +314,29 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
             sha = [hashlib.sha256(x).hexdigest() for x in pieces]
             fields = part.schema.names[:-2]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(room), pa.array(removed), pa.array(n.astype(np.int64)), pa.array(sha), pa.array(pieces, pa.binary())], names=[*fields, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+            text = [x.decode("utf-8", "ignore") for x in pieces]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(room), pa.array(removed), pa.array(n.astype(np.int64)), pa.array(sha), pa.array(text, pa.string())], names=[*fields, *NEW])
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept_bytes (binary) of each text without the bytes that a LENGTH-byte string covers which also starts earlier (smaller key, or same document and earlier start).
+    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each text without the bytes that a LENGTH-byte string covers which also starts earlier (smaller key, or same document and earlier start).
 
     Strings never cross documents and are judged on the input. A null text counts as empty, one shorter than LENGTH loses nothing; a row with a null key is not compared and loses nothing.
-    Rows that repeat a key count as one document: equal rows don't remove each other. Columns of docs stay, but those with one of the new names are replaced. kept_bytes may be invalid UTF-8 where a span ends within a character.
+    Rows that repeat a key count as one document: equal rows don't remove each other. Columns of docs stay, but those with one of the new names are replaced. kept_sha256 is of the remaining bytes; kept_text drops what is left of a cut character.
     """
-    base = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
+    base = docs.drop(*NEW)
     spans = covered(docs, key, text).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("__spans")).withColumnRenamed("doc", "__doc")
     joined = base.join(spans, base[key].cast("long") == F.col("__doc"), "left").select(*base.columns, F.col(text).alias("__text"), "__spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     return joined.mapInArrow(_finish, schema)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).drop("text", "kept_bytes")
+    return remove_repeats(docs).drop("text", "kept_text")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document with its repeated bytes cut out; bytes of a cut character are dropped with it. n_chars follows the text; a text that loses nothing stays as it is."""
-    out = remove_repeats(docs)
-    cut = F.col("n_removed") > 0
-    text = F.when(cut, F.decode_lossy("kept_bytes") if hasattr(F, "decode_lossy") else F.col("kept_bytes").cast("string")).otherwise(F.col("text"))
-    return out.select("*", text.alias("__new")).select(*(F.col("__new").alias(c) if c == "text" else F.when(cut, F.length("__new").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    """Pipeline stage: every document with its repeated bytes cut out; the rest of a cut character goes too. n_chars follows the text; a text that loses nothing stays as it is."""
+    own = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return remove_repeats(docs).select(*(own.get(c, F.col(c)).alias(c) for c in docs.columns))
