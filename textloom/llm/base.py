@@ -212,19 +212,19 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """
     clean = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
     cur = durable(clean.mapInArrow(_forest, "a long, b long").distinct(), name)  # b < a
-    while True:
+    sig = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
+    was = sig(cur)
+    while was[0]:
         # every node's least neighbour (itself included), then edges rewritten to hang on it: large star, small star
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.where("b < a")
+        down = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().where("b < a")
         low2 = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low2, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        nxt = durable(small, name)
-        sig = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
-        done = sig(nxt) == sig(cur)
-        cur = nxt
-        if done:
+        cur = durable(small, name)
+        now = sig(cur)
+        if now == was:
             break
+        was = now
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
