@@ -211,7 +211,7 @@ def shard_repeats(raw: np.ndarray, offs: np.ndarray, doc: np.ndarray, start: np.
     place = np.arange(len(raw)) + seg
     t[place] = raw + np.uint8(2)
     sa = suffix_array(t, LENGTH)
-    same = permuted_prefixes(t, sa, LENGTH)
+    same = permuted_prefixes(t, sa, LENGTH, exact=False)
     left = np.zeros(n + 1, np.int64)  # bytes to the segment's end
     left[place] = np.repeat(offs[1:], size) - np.arange(len(raw))
     of = np.zeros(n + 1, np.int64)

@@ -133,20 +133,28 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     return b.induce(lms[order])
 
 
-def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each place, the symbols (at most `most`) that its suffix shares with the one before it in the array. Prefix hashes are compared by bisection, in text order."""
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, exact: bool = True) -> np.ndarray:
+    """For each place, the symbols (at most `most`) that its suffix shares with the one before it in the array. Prefix hashes are compared in text order, the full length first, the rest by bisection.
+
+    Without exact, values below `most` are 0.
+    """
     n = len(t)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     pre = prefix_hash(t)
-    i = np.arange(n)
-    low, high = np.zeros(n, np.int64), np.minimum(most, n - np.maximum(i, phi))
-    high[phi < 0] = 0
-    phi = np.maximum(phi, 0)
-    while True:
-        open_ = low < high
-        if not open_.any():
-            return low
+    out = np.zeros(n, np.int64)
+    i = np.flatnonzero((phi >= 0) & (np.maximum(np.arange(n), phi) + most <= n) & (t == t[phi]))
+    full = range_hash(pre, i, i + most) == range_hash(pre, phi[i], phi[i] + most)
+    out[i[full]] = most
+    if not exact:
+        return out
+    i = np.flatnonzero((phi >= 0) & (out < most))
+    low, high = np.zeros(len(i), np.int64), np.minimum(most, n - np.maximum(i, phi[i]))
+    while len(i):
         mid = (low + high + 1) // 2
-        same = range_hash(pre, i, i + mid) == range_hash(pre, phi, phi + mid)
-        low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+        same = range_hash(pre, i, i + mid) == range_hash(pre, phi[i], phi[i] + mid)
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        done = low >= high
+        out[i[done]] = low[done]
+        i, low, high = i[~done], low[~done], high[~done]
+    return out
