@@ -542,7 +542,6 @@ b AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT x AS node, x AS
 SELECT node, min(c) AS component FROM r GROUP BY node"""
 )
 def k3_reachable(spark, d):
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/textloom-checkpoints")
     o = read(spark, d, "orders")
     return clusters.reachable(o.select(F.concat(F.lit("c"), F.col("o_custkey") % 97).alias("x"), F.concat(F.lit("d"), F.col("o_orderkey") % 89).alias("y")), "x", "y")
 

@@ -1,11 +1,12 @@
-"""Making the package importable on Python workers."""
+"""Session helpers: the package on the workers' path, and cutting lineage."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -17,3 +18,11 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the folder of spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+    return df.checkpoint()
