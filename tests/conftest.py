@@ -26,6 +26,7 @@ def spark():
 def compare(spark, name, query, sql, folder=SMALL):
     """Rows of a query and of its SQL as sorted lists of strings."""
     import duckdb
+    import pandas as pd
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
@@ -35,9 +36,9 @@ def compare(spark, name, query, sql, folder=SMALL):
     cols = sorted(got.columns)
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
-        return f"{v:.9g}" if isinstance(v, float) else str(v)
+        return f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     rows = [sorted([tuple(plain(v) for v in r) for r in df[cols].itertuples(index=False)], key=str) for df in (got, want)]
     assert rows[0] == rows[1], name
