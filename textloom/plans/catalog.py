@@ -374,7 +374,7 @@ def c5_sparse_no_decay(spark, d):
     return rounded(similarity.sparse_pairs(_item_weights(spark, d), decay=False).where("similarity >= 0.55"), "similarity")
 
 
-#: A term of the flagship query makes up more than this share of all tokens.
+#: The SQL of the flagship query only holds terms that make up more than this share of all tokens; the query itself holds all with tf > 3.
 SHARE = 2e-4
 
 
@@ -384,12 +384,8 @@ SHARE = 2e-4
 SELECT target_word, sim_word, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 50"""
 )
 def c3_sparse_topk(spark, d):
-    """Flagship: terms of the documents' sources, the 50 most similar terms of each."""
-    counts = _source_counts(spark, d)
-    total = counts.agg((F.sum("n") * SHARE).alias("least"))
-    often = counts.groupBy("term").agg(F.sum("n").alias("tf")).crossJoin(F.broadcast(total)).where("tf > least").select("term")
-    w = tfidf.weights(counts, 0).join(often, "term", "left_semi")
-    return similarity.top(rounded(similarity.sparse_pairs(w).where("similarity >= 0.55"), "similarity"), 50)
+    """Flagship: terms of the documents' sources that occur more than three times, the 50 most similar terms of each."""
+    return similarity.sparse_top(tfidf.weights(_source_counts(spark, d)), 50, 0.55)
 
 
 # ---- unrichness, features, rules ------------------------------------------------------------------------------------
