@@ -1,7 +1,11 @@
 """Operators do the whole job: no terms, words, prefixes or windows are left out."""
 
+import random
+
 from conftest import compare
+from pyspark.sql import functions as F
 
+from textloom.llm import decontaminate, urlfilter
 from textloom.plans import catalog
 
 
@@ -10,3 +14,11 @@ def test_flagship_holds_all_terms(spark):
     sql = f"""{catalog._pairs_sql(catalog._COUNTS, "3", catalog._DECAY)}, r AS (SELECT *, row_number() OVER (PARTITION BY target_word ORDER BY round(similarity, 6) DESC, sim_word) AS rank FROM sim WHERE similarity >= 0.55)
 SELECT target_word, sim_word, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 50"""
     compare(spark, "c3_sparse_topk", catalog.c3_sparse_topk, sql)
+
+
+def test_url_entries_at_any_depth(spark):
+    parent = ".".join("abcdefghij") + ".example.com"
+    entries = spark.createDataFrame([("bad", "host.org/a/b/c/d", "2020-01-01", "add"), ("bad", parent, "2020-01-01", "add")], "list string, key string, day string, action string").withColumn("day", F.to_date("day"))
+    rows = [(1, "https://host.org/a/b/c/d/e.html?q=1"), (2, f"https://www.{parent}/"), (3, "https://host.org/a/b/c/dd"), (4, "https://example.com/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("fetched", F.to_date(F.lit("2021-01-01")))
+    assert {r["page_id"]: r["n_active"] for r in urlfilter.judge(pages, entries).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}

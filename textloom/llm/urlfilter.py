@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Labels of a host that are tried as parent domains, and path segments that are tried as prefixes. A host has at most 127 labels; deeper ones are matched from the right.
-MOST_LABELS, MOST_SEGMENTS = 8, 3
-
 
 def host(url: Column) -> Column:
     """Lower-case host of a URL without user, port and a final dot; null if there is none."""
@@ -23,13 +20,13 @@ def path_parts(url: Column) -> Column:
 
 
 def url_keys(url: Column) -> Column:
-    """Distinct list keys that can match a URL: its host, each parent domain, and host plus leading path segments. Their number is bounded."""
+    """Distinct list keys that can match a URL: its host, each parent domain, and host plus leading path segments, at every depth. Their number is bounded by the URL's length."""
     h = host(url)
     labels = F.split(h, r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(MOST_LABELS))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    domains = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
     parts = path_parts(url)
-    m = F.least(F.size(parts), F.lit(MOST_SEGMENTS))
+    m = F.size(parts)
     prefixes = F.when(m > 0, F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda k: F.concat(h, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(h.isNotNull(), F.array_distinct(F.concat(domains, F.array(h), prefixes))).otherwise(F.array().cast("array<string>"))
 
