@@ -16,6 +16,27 @@ SELECT target_word, sim_word, round(similarity, 6) AS similarity, rank FROM r WH
     compare(spark, "c3_sparse_topk", catalog.c3_sparse_topk, sql)
 
 
+def corpus(seed, common, rare):
+    rng = random.Random(seed)
+    made = list({"".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(common + rare)})
+    return rng, lambda n, share: [rng.choice(made[:common]) if rng.random() < share else rng.choice(made[common:]) for _ in range(n)]
+
+
+def leaked(spark, docs, items):
+    got = decontaminate.leaks(spark.createDataFrame([(k, " ".join(t)) for k, t in docs], "doc_id long, text string").repartition(4), spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string"))
+    return {(r["doc_id"], r["item_id"]) for r in got.collect()}
+
+
+def test_short_items_between_known_words(spark):
+    """Every word of the documents is in the benchmark, so that the text around a short item is as near to other items."""
+    rng, draw = corpus(1, 1, 3000)
+    items = [(k, draw(rng.randint(5, 15), 0)) for k in range(1500)]
+    docs = [(k, draw(rng.randint(40, 90), 0) + items[k][1] + draw(50, 0)) for k in range(300)] + [(9000 + k, draw(120, 0)) for k in range(100)]
+    got = leaked(spark, docs, items)
+    assert not {(k, k) for k in range(300)} - got
+    assert sum(d >= 9000 for d, _ in got) <= 5  # of 150,000 pairs, by chance
+
+
 def test_url_entries_at_any_depth(spark):
     parent = ".".join("abcdefghij") + ".example.com"
     entries = spark.createDataFrame([("bad", "host.org/a/b/c/d", "2020-01-01", "add"), ("bad", parent, "2020-01-01", "add")], "list string, key string, day string, action string").withColumn("day", F.to_date("day"))
