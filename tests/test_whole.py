@@ -37,6 +37,13 @@ def test_short_items_between_known_words(spark):
     assert sum(d >= 9000 for d, _ in got) <= 5  # of 150,000 pairs, by chance
 
 
+def test_long_item_of_common_words(spark):
+    rng, draw = corpus(3, 100, 6000)
+    item = draw(2000, 0.8)
+    docs = [(1, draw(500, 0.5) + item + draw(500, 0.5))] + [(9000 + k, draw(400, 0.8)) for k in range(100)]
+    assert leaked(spark, docs, [(1, item), (2, draw(30, 0.5))]) == {(1, 1)}
+
+
 def test_url_entries_at_any_depth(spark):
     parent = ".".join("abcdefghij") + ".example.com"
     entries = spark.createDataFrame([("bad", "host.org/a/b/c/d", "2020-01-01", "add"), ("bad", parent, "2020-01-01", "add")], "list string, key string, day string, action string").withColumn("day", F.to_date("day"))
