@@ -37,6 +37,14 @@ def test_short_items_between_known_words(spark):
     assert sum(d >= 9000 for d, _ in got) <= 5  # of 150,000 pairs, by chance
 
 
+def test_hot_paraphrases(spark):
+    """A third of all rows holds an item of which another six words are replaced each time."""
+    rng, draw = corpus(2, 50, 4000)
+    item, fixed = draw(30, 0.2), set(range(1, 30, 5))
+    docs = [(k, draw(40, 0.5) + [draw(1, 0)[0] if i in fixed else w for i, w in enumerate(item)] + draw(30, 0.5)) for k in range(100)] + [(9000 + k, draw(100, 0.5)) for k in range(200)]
+    assert leaked(spark, docs, [(1, item), (2, draw(30, 0.5))]) == {(k, 1) for k in range(100)}
+
+
 def test_long_item_of_common_words(spark):
     rng, draw = corpus(3, 100, 6000)
     item = draw(2000, 0.8)
