@@ -99,7 +99,7 @@ def test_verified_similarity(spark):
     a = prose(rng, 120)
     texts = [a] + [" ".join(w if rng.random() > q else "zz" for w in a.split()) for q in (0.01, 0.03, 0.1)]
     rows = docs_of(spark, list(enumerate(texts)))
-    weights = neardup.idf_weights(rows)
+    weights = spark.sparkContext.broadcast(neardup.idf_weights(rows))
     df = {}
     for t in texts:
         w = t.split()

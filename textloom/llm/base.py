@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,37 +15,77 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
+#: Bytes and rows of an Arrow batch between the JVM and Python: whole rows, so a longer text is a batch of its own.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2048
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, so that a worker's memory does not follow the length of its texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where spark.checkpoint.dir is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own if everything runs in this process (tests), else an error: no machine-local folder outlives an executor."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it again. Survives lost executors."""
+    """Cut lineage: write df as Parquet in the shared folder and read it again. Survives lost executors; release() deletes it before the session ends."""
     path = f"{shared_dir(df.sparkSession)}/textloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete durable tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_durable_path", None)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(df.sparkSession, path)
 
 
 @atexit.register
 def _drop_written() -> None:
     spark = SparkSession._instantiatedSession
-    if spark is None or not _WRITTEN:
+    if spark is None:
         return
+    for path in _WRITTEN:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session may have ended already; leftovers lie in the checkpoint folder
+            return
+
+
+@functools.cache
+def _libc():
     try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _WRITTEN:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-    except Exception:  # the session may have ended already; leftovers lie in the checkpoint folder
-        return
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: nothing to trim
+        return None
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; when they end, freed memory goes back to the system, for workers live on from task to task."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
 
 
 # ---- Arrow texts as bytes -------------------------------------------------------------------------------------------
@@ -78,18 +120,19 @@ def slices(batch: pa.RecordBatch, name: str, most: int, rows: int = 1 << 20) ->
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INV = pow(_BASE, -1, 1 << 64)
-_POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Places hashed at once; longer inputs are taken in ranges.
+HASHED = 1 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if len(_POW[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, b in enumerate((_BASE, _INV)):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            _POW[k] = np.multiply.accumulate(x)
-    return _POW[0][:n], _POW[1][:n]
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i <= HASHED."""
+    out = []
+    for b in (_BASE, _INV):
+        x = np.full(HASHED + 1, b, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,19 +146,59 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """h with h[e] - h[s] times base**-s a polynomial hash of raw[s:e], modulo 2**64."""
+    """h with h[e] - h[s] times base**-s a polynomial hash of raw[s:e], modulo 2**64; at most HASHED bytes. Equal hashes do not prove equal bytes: compare these where a result rests on them."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    pw, _ = _powers(len(raw) + 1)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(0x51ED27)) * pw[:-1] if len(raw) else raw.astype(np.uint64), out=out[1:])
+    pw, _ = _powers()
+    np.cumsum((raw.astype(np.uint64) + np.uint64(0x51ED27)) * pw[: len(raw)], out=out[1:])
     return out
 
 
 def range_hash(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of raw[s:e], the same wherever the bytes lie."""
-    _, inv = _powers(len(pre))
+    _, inv = _powers()
     return mix((pre[ends] - pre[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """range_hash of ascending, disjoint ranges of any length, in pieces of at most HASHED bytes; what lies beyond HASHED bytes of one range joins its hash piece by piece."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + HASHED, side="right")))
+        if ends[at] - base > HASHED:
+            acc = np.zeros(1, np.uint64)
+            for k in range(base, int(ends[at]), HASHED):
+                pre = prefix_hash(raw[k : min(k + HASHED, int(ends[at]))])
+                acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + range_hash(pre, np.array([0]), np.array([len(pre) - 1])))
+            out[at], at = acc[0], at + 1
+            continue
+        pre = prefix_hash(raw[base : ends[to - 1]])
+        out[at:to] = range_hash(pre, starts[at:to] - base, ends[at:to] - base)
+        at = to
+    return out
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """For each row, whether a[a_start:+size] and b[b_start:+size] are the same bytes."""
+    out = np.ones(len(size), bool)
+    total = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        done = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + most, side="right")))
+        if size[at] > most:
+            s, t, n = int(a_start[at]), int(b_start[at]), int(size[at])
+            out[at], at = np.array_equal(a[s : s + n], b[t : t + n]), at + 1
+            continue
+        n = size[at:to]
+        step = np.arange(total[to - 1] - done) - np.repeat(total[at:to] - done - n, n)
+        bad = a[step + np.repeat(a_start[at:to], n)] != b[step + np.repeat(b_start[at:to], n)]
+        out[at:to] = np.bincount(np.repeat(np.arange(to - at), n)[bad], minlength=to - at) == 0
+        at = to
+    return out
+
+
 #: Bytes of words: ASCII letters and digits, and every byte of a non-ASCII character.
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -143,7 +226,7 @@ def shingles(raw: np.ndarray, offs: np.ndarray, width: int = 5) -> tuple[np.ndar
     starts, ends, first = words(raw, offs)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = range_hash(prefix_hash(raw), starts, ends)
+    h = run_hashes(raw, starts, ends)
     count = np.diff(first)
     n = len(h)
     acc = np.zeros(n, np.uint64)
@@ -221,8 +304,9 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         down = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().where("b < a")
         low2 = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low2, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        cur = durable(small, name)
+        old, cur = cur, durable(small, name)
         now = sig(cur)
+        release(old)
         if now == was:
             break
         was = now

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.base import column, flat, mix, prefix_hash, range_hash, slices, words
+from textloom.llm.base import column, flat, mix, run_hashes, slices, words
 from textloom.llm.langid import bounded_sample
 
 #: Features are hashed into so many weights (4 bytes each, 4 MB in all: the bound of what is broadcast).
@@ -24,7 +24,7 @@ CHUNK = 1 << 20
 def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weight index and text of each word, pair of neighbours and pair with one word between, repeats included."""
     starts, ends, first = words(raw, offs)
-    h = range_hash(prefix_hash(raw), starts, ends)
+    h = run_hashes(raw, starts, ends)
     of = np.repeat(np.arange(len(offs) - 1), np.diff(first))
     got, where = [h], [of]
     for gap, salt in ((1, 0xA24BAED4963EE407), (2, 0x9FB21C651E98DF25)):
