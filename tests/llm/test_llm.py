@@ -207,6 +207,39 @@ def test_tokens_and_pieces(spark):
     assert pieces.encode(docs_of(spark, []), MODEL).count() == 0 and tokens.count_tokens(docs_of(spark, []), MODEL).count() == 0
 
 
+def parity(n):
+    """Two different texts of a and b that polynomial hashes modulo a power of two cannot tell apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_units_of_one_hash(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    one, two = parity(1024)
+    raw, offs = base.flat(pa.array([one, two]))
+    key = tokens.unit_keys(raw, offs[:-1], offs[1:])
+    assert key[0] == key[1]  # else this test shows nothing
+    for rows in ([(1, one), (2, two)], [(1, one + " x"), (2, "y"), (3, "z " + two), (4, two), (5, one)]):
+        df = docs_of(spark, rows).coalesce(1)
+        want = {i: sp.encode(t) for i, t in rows}
+        assert {r["doc_id"]: r["ids"] for r in pieces.encode(df, MODEL, check="same").where("same").collect()} == want
+        assert {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(df, MODEL).collect()} == {i: len(x) for i, x in want.items()}
+    units = tokens.Units()  # one batch after the other: memory is asked by bytes too
+    for t in (one, two, one):
+        raw, offs = base.flat(pa.array([t]))
+        assert tokens._count_units(raw, offs, sp, units).tolist() == [len(sp.encode(t))]
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a text of words", "x"), (2, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text string").withColumn("__ids", F.lit(1)).withColumn("t", F.lit(2)).withColumn("id", F.lit(3))
+    got = pieces.decode(pieces.encode(df, MODEL), MODEL).collect()
+    assert [(r["doc_id"], r["__text"], r["decoded"], r["__ids"]) for r in sorted(got)] == [(1, "x", "a text of words", 1), (2, "y", "", 1)]
+    assert {r["doc_id"]: r["__text"] for r in tokens.count_tokens(df, MODEL, keep=("doc_id", "__text")).collect()} == {1: "x", 2: "y"}
+
+
 def test_long_texts_are_cut(monkeypatch):
     import sentencepiece
 
@@ -215,7 +248,7 @@ def test_long_texts_are_cut(monkeypatch):
     raw = np.frombuffer(("  some  words here and there " * 20).encode(), np.uint8)
     parts = list(tokens._pieces(raw, np.array([0, len(raw)])))
     assert len(parts) > 3
-    known = tokens._Counts()
+    known = tokens.Units()
     n = sum(int(tokens._count_units(r[1:] if k else r, o - (k > 0) * np.array([0, 1]), sp, known)[0]) for k, (r, o) in enumerate(parts))
     assert n == len(sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(raw.tobytes().decode()))
 

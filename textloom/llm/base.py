@@ -91,8 +91,9 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- Arrow texts as bytes -------------------------------------------------------------------------------------------
 
 
-def column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
+def column(batch: pa.RecordBatch, name: str | int) -> pa.Array:
+    """A column by name, or by place (from the end if negative), where the names of other columns are the caller's."""
+    return batch.column(batch.schema.get_field_index(name) if isinstance(name, str) else name % batch.num_columns)
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +107,15 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, most: int, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def free(stem: str, *taken: str) -> str:
+    """A column name like stem that none of the taken ones equals, in any case."""
+    low = {t.lower() for t in taken}
+    while stem.lower() in low:
+        stem += "_"
+    return stem
+
+
+def slices(batch: pa.RecordBatch, name: str | int, most: int, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with at most that many rows and bytes of text, or one row."""
     texts = column(batch, name)
     _, offs = flat(texts)

@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.base import column, flat, prefix_hash, range_hash, slices
-from textloom.llm.tokens import _safe
+from textloom.llm.base import bounded_batches, column, flat, free, slices, trimmed
+from textloom.llm.tokens import Units, cut_units
 
-#: Bytes of text encoded at once, and the most units and token ids that a worker remembers.
-CHUNK, UNITS, IDS = 1 << 20, 1 << 19, 1 << 21
+#: Bytes of text encoded at once, and the longest text that is compared as a whole with sentencepiece, one a chunk.
+CHUNK, WHOLE = 1 << 20, 1 << 14
 #: Threads of a worker's batches: executors run several workers, and each thread keeps memory of its own.
 THREADS = 2
 #: Kinds of pieces in the protobuf (fixed values).
@@ -88,29 +88,6 @@ def verify(path: str, texts: list[str]) -> None:
 PROBES = ["", " ", "a", "Hello  world ", " lead", "\t\n x", "<s> </s> <unk>", "naïve Größe œuvre", "▁a ▁ b", "𝒳 字漢 한글 🙂", "\x00\x01", "1234 $5.00"]
 
 
-class _Memory:
-    """Ids of distinct units, by hash: sorted keys, and each one's range in a pool."""
-
-    def __init__(self) -> None:
-        self.key, self.at, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def ranges(self, uniq: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.key) > UNITS or len(self.pool) > IDS:
-            self.__init__()
-        at = np.searchsorted(self.key, uniq)
-        at[at == len(self.key)] = 0
-        new = np.flatnonzero(self.key[at] != uniq) if len(self.key) else np.arange(len(uniq))
-        if len(new):
-            ids, n = encode(new)
-            start = len(self.pool) + np.cumsum(n) - n
-            key = np.concatenate([self.key, uniq[new]])
-            order = np.argsort(key, kind="stable")
-            self.key, self.at, self.n = key[order], np.concatenate([self.at, start])[order], np.concatenate([self.n, n])[order]
-            self.pool = np.concatenate([self.pool, ids])
-            at = np.searchsorted(self.key, uniq)
-        return self.at[at], self.n[at]
-
-
 def _gather(pool: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The ranges at:at+n of the pool, one after the other."""
     to = np.cumsum(n)
@@ -123,73 +100,77 @@ def _ids(tok, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((i for x in got for i in x), np.int32, int(n.sum())), n
 
 
-def encode_flat(raw: np.ndarray, offs: np.ndarray, tok, marker: int, memory: _Memory) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts and the number of each; each distinct unit between safe cuts is encoded once, in multithreaded batches."""
-    cut = np.zeros(len(raw) + 1, bool)
-    if len(raw):
-        cut[1:-1] = _safe(raw)
-    head = np.zeros(len(raw) + 1, bool)
-    head[offs] = True
-    starts = np.flatnonzero((cut | head)[:-1])
+def encode_flat(raw: np.ndarray, offs: np.ndarray, tok, sp, marker: int, known: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts, the number of each, and whether decoding gives each text again (with spaces for U+2581).
+
+    Each distinct unit between safe cuts is encoded, compared with sentencepiece and decoded once a task, in multithreaded batches. A unit is whole characters and starts with the marker, so a text's decoding is its units' decodings in a row.
+    """
+    starts, begin, ends = cut_units(raw, offs)
     if not len(starts):
-        return np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64)
-    ends = np.append(starts[1:], len(raw))
-    begin = np.where(head[starts], starts, starts + 1)
-    key = range_hash(prefix_hash(raw), begin, ends)
-    uniq, where, back = np.unique(key, return_index=True, return_inverse=True)
-    data = raw.tobytes()
-
-    def encode(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = begin[where[new]].tolist(), ends[where[new]].tolist()
-        ids, n = _ids(tok, [data[x:y].decode() for x, y in zip(a, b, strict=True)])
-        lone = np.flatnonzero(n == 0)  # a lone space: the marker itself
-        return np.insert(ids, np.cumsum(n)[lone], marker).astype(np.int32), np.where(n == 0, 1, n)
+        return np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64), np.ones(len(offs) - 1, bool)
 
-    at, n = memory.ranges(uniq, encode)
-    n = n[back]
+    def learn(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, n = _ids(tok, texts)
+        if not np.array_equal(ids, np.array([i for x in sp.encode(texts, num_threads=1) for i in x], np.int32)):
+            raise ValueError("ids differ from sentencepiece")
+        lone = np.flatnonzero(n == 0)  # a lone space: the marker itself
+        ids, n = np.insert(ids, np.cumsum(n)[lone], marker).astype(np.int32), np.where(n == 0, 1, n)
+        flat_ids, edges = ids.tolist(), [0, *np.cumsum(n).tolist()]
+        back = tok.decode_batch([flat_ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], skip_special_tokens=False)
+        return n, ids, np.fromiter((a == b.replace("▁", " ") for a, b in zip(back, texts, strict=True)), bool, len(texts))
+
+    slot = known.slots(raw, begin, ends, learn)
+    n = known.n[slot]
+    first = np.searchsorted(starts, offs)
+    bad = np.r_[0, np.cumsum(~known.good[slot])]
     total = np.r_[0, np.cumsum(n)]
-    return _gather(memory.pool, at[back], n), np.diff(total[np.searchsorted(starts, offs)])
+    return _gather(known.values, known.start[slot], n), np.diff(total[first]), np.diff(bad[first]) == 0
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
     """docs with the ids of each text (array<int>); a null or empty text has none. Special strings in a text are plain text; nothing is added or truncated.
 
     With check, a column of that name tells whether decoding the ids gives the text again (with spaces for U+2581, which the model can't tell from them; null counts as empty).
+    All ids are compared with sentencepiece where they are made: each distinct unit of a task, and one whole text a chunk; a difference raises.
 
     A docs column named like the new one is replaced; other columns stay. Whole texts are encoded, a chunk of at most CHUNK bytes, or one text, at a time.
     """
+    import sentencepiece
+
+    bounded_batches(docs.sparkSession)
     base = docs.drop(ids, *([check] if check else []))
-    src = base.withColumn("__text", F.col(text))
+    src = base.select("*", docs[text].alias(free("__text", *base.columns)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + f", `{ids}` array<int>" + (f", `{check}` boolean" if check else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         tok, safe = build(path)
         verify(path, PROBES)
-        marker, memory = tok.token_to_id("▁"), _Memory()
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        marker, known = tok.token_to_id("▁"), Units()
         for batch in batches:
-            for part in slices(batch, "__text", CHUNK):
-                texts = column(part, "__text").fill_null("")
+            for part in slices(batch, -1, CHUNK):
+                texts = column(part, -1).fill_null("")
                 if safe and marker is not None:
-                    got, n = encode_flat(*flat(texts), tok, marker, memory)
+                    got, n, same = encode_flat(*flat(texts), tok, sp, marker, known)
                 else:
                     got, n = _ids(tok, texts.to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(got, pa.int32()))
-                more = []
-                if check:
-                    back = []
-                    for k in range(0, len(part), 64):
-                        back += tok.decode_batch(lists.slice(k, 64).to_pylist(), skip_special_tokens=False)
-                    more = [pa.array([a == b.replace("▁", " ") for a, b in zip(back, texts.to_pylist(), strict=True)], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *more], names=[*part.schema.names[:-1], ids, *([check] if check else [])])
+                if not (safe and marker is not None):
+                    back = [t for k in range(0, len(part), 64) for t in tok.decode_batch(lists.slice(k, 64).to_pylist(), skip_special_tokens=False)]
+                    same = np.array([a == b.replace("▁", " ") for a, b in zip(back, texts.to_pylist(), strict=True)], bool)
+                some = next((k for k, size in enumerate(np.diff(flat(texts)[1]).tolist()) if 0 < size <= WHOLE), None)
+                if some is not None and lists[some].as_py() != sp.encode(texts[some].as_py()):
+                    raise ValueError("ids of a whole text differ from sentencepiece")
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *([pa.array(same)] if check else [])], names=[*part.schema.names[:-1], ids, *([check] if check else [])])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lambda it: trimmed(run(it)), schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with the text of each id list; a null or empty list gives an empty text, control pieces give their own strings. A docs column named like the new one is replaced."""
     base = docs.drop(text)
-    src = base.withColumn("__ids", F.col(ids))
+    src = base.select("*", docs[ids].alias(free("__ids", *base.columns)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + f", `{text}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +178,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                got = tok.decode_batch([x or [] for x in column(part, "__ids").to_pylist()], skip_special_tokens=False)
+                got = tok.decode_batch([x or [] for x in column(part, -1).to_pylist()], skip_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.string())], names=[*part.schema.names[:-1], text])
 
     return src.mapInArrow(run, schema)
