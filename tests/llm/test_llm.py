@@ -163,13 +163,15 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("most", [1000, 3])
-def test_repeats(spark, most, monkeypatch):
-    monkeypatch.setattr(repeats, "MOST", most)
+@pytest.mark.parametrize("hot", [1 << 20, 300])
+def test_repeats(spark, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
     rng = random.Random(4)
     common = "".join(rng.choice("ab é") for _ in range(300))
     rows = [r for r in ODD if r[0] is not None] + [(50 + k, prose(rng, 30) + common[:150] + prose(rng, 30)) for k in range(20)]
     rows += [(80, common), (81, "a" * 350), (82, "ab" * 200 + common), (83, common[:99]), (84, common[:100]), (90, prose(rng, 40) * 3)]
+    rows += [(200 + k, prose(rng, 8) + common[k % 7 : 110 + k % 50] + prose(rng, 8)) for k in range(60)]  # many ways around one core
+    rows += list(zip((300, 301, 302), (*parity(1024), parity(1024)[0]), strict=True))
     got = repeats.remove_repeats(docs_of(spark, rows, True).repartition(5)).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(rows)
     assert repeats.remove_repeats(docs_of(spark, [])).count() == 0
@@ -182,9 +184,19 @@ def test_suffix_arrays():
         t = np.r_[rng.integers(1, 1 + rng.integers(1, 4), rng.integers(1, 60)), 0].astype(np.uint8)
         sa, b = suffixes.suffix_array(t), t.tobytes()
         assert sa.tolist() == sorted(range(len(t)), key=lambda i: b[i:])
-        p = suffixes.permuted_prefixes(t, sa, 10)
+        p = suffixes.permuted_prefixes(t, sa, 1)
         for i, j in zip(sa[1:], sa[:-1], strict=True):
-            assert p[i] == next((k for k in range(10) if max(i, j) + k >= len(t) or t[i + k] != t[j + k]), 10)
+            assert p[i] == next(k for k in range(99) if t[i + k] != t[j + k] or t[i + k] <= 1)
+
+
+def test_long_text_in_pieces(spark):
+    """One text of several pieces, and strings that lie across their borders."""
+    rng = random.Random(14)
+    part = prose(rng, 200)
+    text = (prose(rng, 30_000)[: repeats.CHUNK - 60] + part + prose(rng, 100_000))[: 3 * repeats.CHUNK - 50] + part
+    rows = [(1, text), (2, part[:130])]
+    got = repeats.remove_repeats(docs_of(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(rows)
 
 
 # ---- 4, 8 -----------------------------------------------------------------------------------------------------------

@@ -10,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.base import column, durable, flat, prefix_hash, range_hash, slices
+from textloom.llm.base import bounded_batches, column, durable, flat, free, mix, prefix_hash, range_hash, release, same_bytes, slices, trimmed
 from textloom.llm.suffixes import permuted_prefixes, suffix_array
 
 #: Bytes of a string that counts as repeated, and of the anchors that bring equal strings together.
-LENGTH, ANCHOR = 100, 16
-#: Distinct segments that share an anchor and are sorted together; beyond it, the anchor's strings are dealt by their own hashes.
-MOST = 1000
-#: Bytes of text handled at once, and of segments in one suffix array.
-CHUNK, SHARD = 1 << 20, 1 << 20
+LENGTH, ANCHOR = 100, 32
+#: Bytes of text handled at once (a longer text in overlapping pieces), and of segments in one suffix array.
+CHUNK, SHARD = 1 << 18, 1 << 19
+#: Bytes of segments of one key; those of a key with more are parted by what stands next to their core.
+HOT = 1 << 20
+#: Low bits of an anchor's key that hold its place.
+PLACE = np.uint64((1 << 20) - 1)
 
 
 def _slide(x: np.ndarray, w: int, pick) -> np.ndarray:
@@ -30,32 +32,67 @@ def _slide(x: np.ndarray, w: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (w - size)], x[w - size :]) if size < w else x
 
 
-def segments(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, content hash, text, start, length and whether the anchor occurs twice, of runs of LENGTH-byte strings with the same anchor: the least hash of their ANCHOR-byte substrings.
+def segments(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, text, begin, size, and place of the anchor in it, of the segments of texts of at most 2**20 bytes: runs of LENGTH-byte strings whose anchor, the leftmost of their ANCHOR-byte substrings of least hash, is the same one.
 
-    Equal strings have equal anchors wherever they are, so strings of different anchors need no comparison.
+    Equal strings have equal anchors at the same place in them wherever they are, so strings of different anchors need no comparison.
     """
     n, w = len(raw), LENGTH - ANCHOR + 1
     if n < LENGTH:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
-    pre = prefix_hash(raw)
-    i = np.arange(n - ANCHOR + 1)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
+    pre, i = prefix_hash(raw), np.arange(n - ANCHOR + 1)
     each = range_hash(pre, i, i + ANCHOR)
-    least = low = _slide(each, w, np.minimum)
+    low = _slide((each & ~PLACE) | i.astype(np.uint64), w, np.minimum)
     count = np.maximum(np.diff(offs) - LENGTH + 1, 0)
     of = np.repeat(np.arange(len(offs) - 1), count)
     at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offs[:-1], count)
     low = low[at]
-    head = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, np.int64)
+    head = np.flatnonzero(_first_of(low, of)) if len(of) else np.zeros(0, np.int64)
     last = np.r_[head[1:], len(of)] - 1 if len(of) else head
-    begin, end = at[head], at[last] + LENGTH
-    # places that are the anchor of some string around them; two equal neighbours of them within a segment mean that its own strings may repeat
-    edge = np.zeros(w - 1, np.uint64)
-    spot = np.flatnonzero(each == _slide(np.concatenate([edge, least, edge]), w, np.maximum))
-    twice = np.r_[0, np.cumsum(each[spot[1:]] == each[spot[:-1]])] if len(spot) else np.zeros(1, np.int64)
-    lo, hi = np.searchsorted(spot, begin), np.searchsorted(spot, end - ANCHOR, side="right") - 1
-    own = twice[np.maximum(hi, 0)] > twice[np.minimum(lo, len(twice) - 1)] if len(head) else np.zeros(0, bool)
-    return low[head], range_hash(pre, begin, end), of[head], begin - offs[of[head]], end - begin, own
+    place = (low[head] & PLACE).astype(np.int64)
+    return each[place], of[head], at[head], at[last] + LENGTH - at[head], place - at[head]
+
+
+#: Odd factors and masks of the 8-byte pieces of a segment.
+_LANES = mix(np.arange(1, 49, dtype=np.uint64)).reshape(2, 24)
+
+
+def contents(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of all bytes of raw[begin:+size], of at most 192 bytes: sums over 8-byte pieces, each mixed by a function of its own place."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    a = b = size.astype(np.uint64)
+    live = np.arange(len(begin))
+    for k in range(0, int(size.max(initial=0)), 8):
+        if k + 8 > LENGTH:
+            live = live[size[live] > k]
+        left = np.minimum(size[live] - k, 8).astype(np.uint64) * np.uint64(8)
+        x = eight[begin[live] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left))
+        x, y = mix(x ^ _LANES[0, k // 8]), mix((x + _LANES[1, k // 8]) * np.uint64(0x9FB21C651E98DF25))
+        if len(live) == len(begin):
+            a, b = a + x, b + y
+        else:
+            a[live] += x
+            b[live] += y
+    return mix(a), mix(b)
+
+
+def _equal_groups(raw: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each segment the index of the first one, by document and start, of the same bytes; key: equal for equal segments. Bytes are compared."""
+    lead = np.arange(len(key))
+    o = np.argsort(key, kind="stable")
+    head = _first_of(key[o])
+    group = np.cumsum(head) - 1
+    many = np.bincount(group)[group] > 1
+    if many.any():
+        o, group = o[many], group[many]
+        x = np.lexsort((start[o], doc[o], group))
+        o, group = o[x], group[x]
+        first = o[np.flatnonzero(_first_of(group))][np.cumsum(_first_of(group)) - 1]
+        same = size[o] == size[first]
+        same[same] = same_bytes(raw, begin[o[same]], raw, begin[first[same]], size[o[same]])
+        lead[o[same]] = first[same]
+    return lead
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -83,80 +120,93 @@ def merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return doc[at], start[at], np.maximum.reduceat(end, at)
 
 
-_ROWS = "kind int, mh long, sh long, doc long, start int, size int"
+#: what: for a segment its size and, from bit 10, the place of its core; for covered bytes minus their number.
+_ROWS = "mh long, a long, b long, doc long, start int, what int"
+
+
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    made = [pa.array(x.astype(np.int32) if f.endswith(" int") else x) if isinstance(x, np.ndarray) else x for f, x in zip(schema.split(", "), columns, strict=True)]
+    return pa.RecordBatch.from_arrays(made, names=[f.split(" ")[0] for f in schema.split(", ")])
+
 
+def _covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    d, s, e = merge(doc, start, end)
+    none = np.zeros(len(d), np.int64)
+    return _batch(_ROWS, d * np.int64(0x9E3779B1) + s, none, none, d, s, s - e)
 
-def _rows(kind, mh, sh, doc, start, size) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.broadcast_to(np.asarray(kind, np.int32), n)), pa.array(mh), pa.array(sh), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=["kind", "mh", "sh", "doc", "start", "size"]
-    )
+
+def _windows(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First row, first byte and offsets of ranges of at most CHUNK bytes of whole texts; a longer text in pieces that overlap by LENGTH - 1, so that each string is in one piece."""
+    at = 0
+    while at < len(offs) - 1:
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + CHUNK, side="right")) - 1)
+        if offs[to] - offs[at] <= CHUNK + LENGTH - 1:
+            yield at, int(offs[at]), offs[at : to + 1] - offs[at]
+        else:
+            for k in range(int(offs[at]), int(offs[to]) - LENGTH + 1, CHUNK):
+                yield at, k, np.array([0, min(CHUNK + LENGTH - 1, int(offs[to]) - k)])
+        at = to
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: segments, kind 3: segments whose own strings may repeat; of equal ones in a batch the first only, the others at once as kind 1: covered."""
+    """Segments; of equal ones in a batch the first only, the others at once as covered."""
     for batch in batches:
+        raw, offs = flat(column(batch, "text"))
+        ids = column(batch, "doc").to_numpy()
         parts = []
-        for part in slices(batch, "text", CHUNK):
-            ids = column(part, "doc").to_numpy()
-            mh, sh, of, start, size, own = segments(*flat(column(part, "text")))
-            parts.append((mh.view(np.int64), sh.view(np.int64), ids[of], start, size, own))
+        for row, byte, own in _windows(raw, offs):
+            mh, of, begin, size, core = segments(raw[byte : byte + own[-1]], own)
+            a, b = contents(raw, begin + byte, size)
+            parts.append((mh, a, b, of + row, begin + byte, size, core))
         if not parts:
             continue
-        mh, sh, doc, start, size, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-        o = np.lexsort((start, doc, sh, mh))
-        mh, sh, doc, start, size, own = (x[o] for x in (mh, sh, doc, start, size, own))
-        first = _first_of(mh, sh)
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        again = ~first & ((doc != doc[lead]) | (start != start[lead]))
-        yield _rows(np.where(own[first], 3, 0), mh[first], sh[first], doc[first], start[first], size[first])
-        d, s, e = merge(doc[again], start[again], (start + size)[again])
-        yield _rows(1, d * np.int64(0x9E3779B1) + s, s, d, s, e - s)
+        mh, a, b, of, begin, size, core = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc, start = ids[of], begin - offs[of]
+        lead = _equal_groups(raw, mh ^ mix(a), doc, start, begin, size)
+        f = np.flatnonzero(lead == np.arange(len(lead)))
+        f = f[np.argsort(mh[f])]
+        yield _batch(_ROWS, mh[f].view(np.int64), a[f].view(np.int64), b[f].view(np.int64), doc[f], start[f], size[f] | (core[f] << 10))
+        again = (doc != doc[lead]) | (start != start[lead])
+        yield _covered(doc[again], start[again], (start + size)[again])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, content and place: kind 1 for all but the first of equal segments, kind 2 for firsts whose anchor has other contents too or occurs twice. State between batches is one row."""
-    held = None  # the first segment of the current anchor, not yet known to have company
-    prev = None  # the current content's anchor, content, document, start
+    """Rows sorted by anchor, content and place: all but the first of equal segments as covered, firsts whose anchor has other contents too as segments; the rest are done. State between batches is two rows."""
+    held = None  # the first segment of the current anchor while it has no company
+    prev = None  # the current content's anchor, hashes, document, start
     for batch in batches:
-        kind, mh, sh, doc, start, size = (column(batch, k).to_numpy() for k in ("kind", "mh", "sh", "doc", "start", "size"))
-        passed = kind == 1
-        if passed.any():
-            yield batch.filter(pa.array(passed))
-        own, mh, sh, doc, start, size = (x[~passed] for x in (kind == 3, mh, sh, doc, start, size))
+        what = column(batch, "what").to_numpy()
+        if (what < 0).any():
+            yield batch.filter(pa.array(what < 0))
+        mh, a, b, doc, start, what = (column(batch, k).to_numpy()[what >= 0] for k in ("mh", "a", "b", "doc", "start", "what"))
         if not len(mh):
             continue
-        first = _first_of(mh, sh)
-        if prev is not None and prev[0] == mh[0] and prev[1] == sh[0]:
+        first = _first_of(mh, a, b)
+        if prev is not None and prev[:3] == (mh[0], a[0], b[0]):
             first[0] = False
         lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
         known = np.maximum(lead, 0)
-        ld, ls = np.where(lead >= 0, doc[known], prev[2] if prev else 0), np.where(lead >= 0, start[known], prev[3] if prev else 0)
+        ld, ls = np.where(lead >= 0, doc[known], prev[3] if prev else 0), np.where(lead >= 0, start[known], prev[4] if prev else 0)
         again = ~first & ((doc != ld) | (start != ls))
-        d, s, e = merge(doc[again], start[again], (start + size)[again].astype(np.int64))
-        if len(d):
-            yield _rows(1, np.zeros(len(d), np.int64), np.zeros(len(d), np.int64), d, s, e - s)
+        if again.any():
+            yield _covered(doc[again], start[again].astype(np.int64), start[again].astype(np.int64) + (what[again] & 1023))
         f = np.flatnonzero(first)
-        m = mh[f]
-        new = _first_of(m)
-        if len(f) and prev is not None and prev[0] == m[0]:
-            new[0] = False
-        more = np.r_[~new[1:], False] if len(f) else new
-        out = f[~new | more | own[f]]
-        if len(f) and not new[0] and held is not None:
-            yield _rows(2, *(np.array([v]) for v in held))
-            held = None
-        if len(f) and new[-1] and not own[f[-1]]:
-            k = f[-1]
-            held = (mh[k], sh[k], doc[k], start[k], size[k])
-        elif len(f):
-            held = None
-        if len(out):
-            yield _rows(2, mh[out], sh[out], doc[out], start[out], size[out])
-        prev = (mh[-1], sh[-1], ld[-1] if not first[-1] else doc[-1], ls[-1] if not first[-1] else start[-1])
-
-
-_SEGS = "kind int, mh long, sub long, doc long, start int, size int, seg binary"
+        if len(f):
+            m = mh[f]
+            new = _first_of(m)
+            if prev is not None and prev[0] == m[0]:
+                new[0] = False
+            out = f[~new | np.r_[~new[1:], False]]
+            if not new[0] and held is not None:
+                yield _batch(_ROWS, *(np.array([v]) for v in held))
+            held = tuple(x[f[-1]] for x in (mh, a, b, doc, start, what)) if new[-1] else None
+            if len(out):
+                yield _batch(_ROWS, *(x[out] for x in (mh, a, b, doc, start, what)))
+        prev = (mh[-1], a[-1], b[-1], ld[-1] if not first[-1] else doc[-1], ls[-1] if not first[-1] else start[-1])
+
+
+#: Segments with their bytes: the key, the place and length of what all strings of the key have in common.
+_SEGS = "mh long, doc long, start int, core int, held int, seg binary"
 
 
 def _lists(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -168,37 +218,76 @@ def _lists(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their wanted segments to the segments' bytes. A crowded anchor's segments are cut into their single strings, dealt by their hashes; of equal ones in a batch only the first goes on, the others are kind 1."""
+    """Texts with their wanted segments to the segments' bytes."""
     for batch in batches:
         for part in slices(batch, "text", CHUNK):
             raw, offs = flat(column(part, "text"))
             wants = column(part, "wants")
             of = np.repeat(np.arange(len(part)), np.diff(wants.offsets.to_numpy()))
             flat_wants = wants.flatten()
-            mh, start, size, hot = (flat_wants.field(k).to_numpy(zero_copy_only=False) for k in ("mh", "start", "size", "hot"))
-            ids = column(part, "doc").to_numpy()[of]
-            begin = offs[of] + start
-            cold = ~hot
-            n = int(cold.sum())
-            names = ["kind", "mh", "sub", "doc", "start", "size", "seg"]
-            for j in range(0, n, 8192):
-                x = np.flatnonzero(cold)[j : j + 8192]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), 2, np.int32)), pa.array(mh[x]), pa.array(np.zeros(len(x), np.int64)), pa.array(ids[x]), pa.array(start[x]), pa.array(size[x]), _lists(raw, begin[x], begin[x] + size[x])], names=names)
-            if hot.any():
-                count = (size - LENGTH + 1)[hot].astype(np.int64)
-                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                m, d, s, b = np.repeat(mh[hot], count), np.repeat(ids[hot], count), np.repeat(start[hot], count) + step, np.repeat(begin[hot], count) + step
-                sub = range_hash(prefix_hash(raw), b, b + LENGTH).view(np.int64)
-                o = np.lexsort((s, d, sub, m))
-                m, d, s, b, sub = m[o], d[o], s[o], b[o], sub[o]
-                first = _first_of(m, sub)
-                lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-                again = ~first & ((d != d[lead]) | (s != s[lead]))
-                x, y, z = merge(d[again], s[again].astype(np.int64), s[again].astype(np.int64) + LENGTH)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), 1, np.int32)), pa.array(x * np.int64(0x9E3779B1) + y), pa.array(y), pa.array(x), pa.array(y.astype(np.int32)), pa.array((z - y).astype(np.int32)), pa.nulls(len(x), pa.binary())], names=names)
-                for j in range(0, int(first.sum()), 8192):
-                    x = np.flatnonzero(first)[j : j + 8192]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), 2, np.int32)), pa.array(m[x]), pa.array(sub[x]), pa.array(d[x]), pa.array(s[x].astype(np.int32)), pa.array(np.full(len(x), LENGTH, np.int32)), _lists(raw, b[x], b[x] + LENGTH)], names=names)
+            mh, start, what = (flat_wants.field(k).to_numpy(zero_copy_only=False) for k in ("mh", "start", "what"))
+            doc, begin, size = column(part, "doc").to_numpy()[of], offs[of] + start, what & 1023
+            for j in range(0, len(mh), 8192):
+                x = slice(j, j + 8192)
+                yield _batch(_SEGS, mh[x], doc[x], start[x], what[x] >> 10, np.full(len(mh[x]), ANCHOR), _lists(raw, begin[x], begin[x] + size[x]))
+
+
+def _part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of crowded keys in two: the strings that hold half of what they miss to LENGTH bytes to the left of the core, and those that hold as much to its right. The longer core is the key. Equal ones of a batch as in _cut; covered bytes have no segment."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        doc, start, core, held = (column(batch, k).to_numpy().astype(np.int64) for k in ("doc", "start", "core", "held"))
+        raw, offs = flat(column(batch, "seg"))
+        last = np.diff(offs) - LENGTH  # last start of a string
+        more = (LENGTH - held + 1) // 2
+        left, right = np.flatnonzero(core >= more), np.flatnonzero(core - more < last)
+        row = np.concatenate([left, right])
+        skip = np.concatenate([np.zeros(len(left), np.int64), np.maximum(core - more + 1, 0)[right]])
+        size = np.concatenate([np.minimum(core - more, last)[left] + LENGTH, (last + LENGTH)[right] - skip[len(left) :]])
+        place = np.concatenate([(core - more)[left], core[right]]) - skip
+        begin, long = offs[row] + skip, (held + more)[row]
+        pre = [prefix_hash(raw)] if len(raw) < (1 << 20) else None
+        key = range_hash(pre[0], begin + place, begin + place + long) if pre else np.concatenate([range_hash(prefix_hash(raw[b + p : b + p + z]), np.array([0]), np.array([z])) for b, p, z in zip(begin, place, long, strict=True)])
+        d, s = doc[row], start[row] + skip
+        a, _ = contents(raw, begin, size)
+        lead = _equal_groups(raw, key ^ mix(a), d, s, begin, size)
+        f = np.flatnonzero(lead == np.arange(len(lead)))
+        for j in range(0, len(f), 8192):
+            x = f[j : j + 8192]
+            yield _batch(_SEGS, key[x].view(np.int64), d[x], s[x], place[x], long[x], _lists(raw, begin[x], begin[x] + size[x]))
+        again = (d != d[lead]) | (s != s[lead])
+        yield _done(d[again], s[again], (s + size)[again])
+
+
+def _done(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    d, s, e = merge(doc, start, end)
+    return _batch(_SEGS, d * np.int64(0x9E3779B1) + s, d, s, s - e, np.zeros(len(d), np.int64), pa.nulls(len(d), pa.binary()))
+
+
+def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, content and place: the first of equal segments, the others as covered. State between batches is one row."""
+    prev = None
+    for batch in batches:
+        bare = column(batch, "seg").is_null()
+        yield batch.filter(bare)
+        rows = batch.filter(pa.compute.invert(bare))
+        if not len(rows):
+            continue
+        if prev is not None:
+            rows = pa.Table.from_batches([prev, rows]).combine_chunks().to_batches()[0]
+        mh, doc, start = (column(rows, k).to_numpy().astype(np.int64) for k in ("mh", "doc", "start"))
+        raw, offs = flat(column(rows, "seg"))
+        size = np.diff(offs)
+        equal = np.zeros(len(rows), bool)
+        near = np.flatnonzero((mh[1:] == mh[:-1]) & (size[1:] == size[:-1]))
+        equal[near + 1] = same_bytes(raw, offs[near + 1], raw, offs[near], size[near])
+        lead = np.maximum.accumulate(np.where(equal, 0, np.arange(len(rows))))
+        again = equal & ((doc != doc[lead]) | (start != start[lead]))
+        yield _done(doc[again], start[again], (start + size)[again])
+        keep = np.flatnonzero(~equal)
+        yield rows.take(pa.array(keep[1:] if prev is not None else keep))
+        prev = rows.slice(int(lead[-1]), 1)
 
 
 def shard_repeats(raw: np.ndarray, offs: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,8 +299,8 @@ def shard_repeats(raw: np.ndarray, offs: np.ndarray, doc: np.ndarray, start: np.
     seg = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(raw)) + seg
     t[place] = raw + np.uint8(2)
-    sa = suffix_array(t, LENGTH)
-    same = permuted_prefixes(t, sa, LENGTH, exact=False)
+    sa = suffix_array(t)
+    same = permuted_prefixes(t, sa, 1)
     left = np.zeros(n + 1, np.int64)  # bytes to the segment's end
     left[place] = np.repeat(offs[1:], size) - np.arange(len(raw))
     of = np.zeros(n + 1, np.int64)
@@ -231,39 +320,32 @@ def shard_repeats(raw: np.ndarray, offs: np.ndarray, doc: np.ndarray, start: np.
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: whole anchors are gathered up to SHARD bytes and sorted together; the covered intervals come out."""
+    """Rows sorted by key: whole keys are gathered up to SHARD bytes and sorted together; the covered intervals come out."""
     kept: list[pa.RecordBatch] = []
-    held = 0
+    size = 0
 
     def run(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
         if len(table):
-            doc, start = table["doc"].to_numpy(), table["start"].to_numpy().astype(np.int64)
-            raw, offs = flat(table["seg"].combine_chunks().cast(pa.large_binary()) if table["seg"].num_chunks > 1 else table["seg"].chunk(0))
-            d, s, e = shard_repeats(raw, offs, doc, start)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array((e - s).astype(np.int32))], names=["doc", "start", "size"])
+            raw, offs = flat(table["seg"].chunk(0))
+            d, s, e = shard_repeats(raw, offs, table["doc"].to_numpy(), table["start"].to_numpy().astype(np.int64))
+            yield _batch("doc long, start int, size int", d, s, e - s)
 
     for batch in batches:
-        passed = pa.compute.equal(column(batch, "kind"), 1)
-        yield batch.filter(passed).select(["doc", "start", "size"])
-        batch = batch.filter(pa.compute.invert(passed))
-        while len(batch):
-            mh, sub = column(batch, "mh").to_numpy(), column(batch, "sub").to_numpy()
-            total = held + np.cumsum(column(batch, "size").to_numpy().astype(np.int64))
-            edge = np.flatnonzero(np.r_[False, (mh[1:] != mh[:-1]) | (sub[1:] != sub[:-1])])
-            if kept and (column(kept[-1], "mh")[-1].as_py() != mh[0] or column(kept[-1], "sub")[-1].as_py() != sub[0]):
-                edge = np.r_[0, edge]
-            full = edge[(total[edge - 1] if len(edge) else edge) >= SHARD] if len(edge) and edge[0] > 0 else edge[np.r_[held >= SHARD, total[edge[1:] - 1] >= SHARD]] if len(edge) else edge
-            if not len(full):
-                kept.append(batch)
-                held = int(total[-1])
-                break
-            k = int(full[0])
-            if k:
-                kept.append(batch.slice(0, k))
-            yield from run(kept)
-            kept, held = [], 0
-            batch = batch.slice(k)
+        if not len(batch):
+            continue
+        mh = column(batch, "mh").to_numpy()
+        edge = np.flatnonzero(_first_of(mh))  # where another key begins; the first may go on with the key before
+        if kept and column(kept[-1], "mh")[-1].as_py() == mh[0]:
+            edge = edge[1:]
+        _, offs = flat(column(batch, "seg"))
+        at = 0
+        for k in edge.tolist():
+            if size + offs[k] - offs[at] >= SHARD:
+                yield from run([*kept, batch.slice(at, k - at)])
+                kept, size, at = [], 0, k
+        kept.append(batch.slice(at))
+        size += int(offs[-1] - offs[at])
     if kept:
         yield from run(kept)
 
@@ -271,20 +353,41 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, start, size of byte intervals (may overlap) that together are all bytes covered by a LENGTH-byte string which also starts earlier.
 
-    1. Texts are cut into segments of strings with a common anchor; of equal segments in a batch one goes on. 2. Shuffled by anchor, all but the first of equal segments are covered at once,
-    and firsts that are alone with their anchor are done. 3. The other firsts are fetched from their texts and dealt by anchor; crowded anchors are split by the strings' own hashes.
-    4. Each shard of whole anchors is sorted into a suffix array, where strings with a common prefix of LENGTH meet.
+    1. Texts are cut into segments of strings with a common anchor; of equal segments in a batch one goes on (bytes are compared). 2. Shuffled by anchor, all but the first of equal segments (128 bits of two hashes of all bytes) are covered at once,
+    and firsts that are alone with their anchor are done. 3. The other firsts are fetched from their texts. Segments of a key with more than HOT bytes are parted in two by what stands next to their common core, again and again, until their keys are small:
+    the core grows to LENGTH bytes in seven steps at most, where all strings of a key are equal. 4. Each shard of whole keys is sorted into a suffix array, where strings with a common prefix of LENGTH meet.
     """
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(f"doc is not null and octet_length(text) >= {LENGTH}")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = src.mapInArrow(_cut, _ROWS).repartition(n, "mh").sortWithinPartitions("mh", "sh", "doc", "start").mapInArrow(_meet, _ROWS)
-    met = durable(met.select("kind", F.when(F.col("kind") == 2, F.col("mh")).alias("mh"), "doc", "start", "size"), "met")
-    want = met.where("kind = 2")
-    crowded = want.groupBy("mh").count().where(F.col("count") > MOST).select("mh", F.lit(True).alias("hot"))
-    want = want.join(crowded, "mh", "left").groupBy("doc").agg(F.collect_list(F.struct("mh", "start", "size", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wants"))
-    segs = src.join(want, "doc").select("doc", "text", "wants").mapInArrow(_fetch, _SEGS)
-    sorted_ = segs.repartition(n, "mh", "sub").sortWithinPartitions("mh", "sub").mapInArrow(_sort, "doc long, start int, size int")
-    return met.where("kind = 1").select("doc", "start", "size").union(sorted_)
+    met = src.mapInArrow(lambda it: trimmed(_cut(it)), _ROWS).repartition(n, "mh").sortWithinPartitions("mh", "a", "b", "doc", "start").mapInArrow(lambda it: trimmed(_meet(it)), _ROWS)
+    met = durable(met.select(F.when(F.col("what") > 0, F.col("mh")).alias("mh"), "doc", "start", "what"), "met")
+    out = met.where("what < 0").select("doc", "start", (-F.col("what")).alias("size"))
+    want = met.where("what > 0")
+    crowded = durable(want.groupBy("mh").agg(F.sum(F.col("what").bitwiseAND(1023)).alias("size")).where(F.col("size") > HOT).select("mh"), "crowded")
+
+    def fetched(some: DataFrame) -> DataFrame:
+        lists = some.groupBy("doc").agg(F.collect_list(F.struct("mh", "start", "what")).alias("wants"))
+        return src.join(lists, "doc").select("doc", "text", "wants").mapInArrow(lambda it: trimmed(_fetch(it)), _SEGS)
+
+    def sort(segs: DataFrame) -> DataFrame:
+        return segs.select("mh", "doc", "start", "seg").repartition(n, "mh").sortWithinPartitions("mh").mapInArrow(lambda it: trimmed(_sort(it)), "doc long, start int, size int")
+
+    if crowded.isEmpty():
+        return out.union(sort(fetched(want)))
+    out = out.union(sort(fetched(want.join(crowded, "mh", "left_anti"))))
+    hot = fetched(want.join(crowded, "mh", "left_semi"))
+    for _ in range(7):  # what is missing to LENGTH is halved each time
+        halves = hot.mapInArrow(lambda it: trimmed(_part(it)), _SEGS).withColumn("h", F.xxhash64("seg"))
+        step = durable(halves.repartition(n, "mh", "h").sortWithinPartitions("mh", "h", "seg", "doc", "start").drop("h").mapInArrow(lambda it: trimmed(_same(it)), _SEGS), "parted")
+        out = out.union(step.where("seg is null").select("doc", "start", (-F.col("core")).alias("size")))
+        segs = step.where("seg is not null")
+        crowded = durable(segs.groupBy("mh").agg(F.sum(F.octet_length("seg")).alias("size")).where(F.col("size") > HOT).select("mh"), "crowded")
+        out = out.union(sort(segs.join(crowded, "mh", "left_anti")))
+        if crowded.isEmpty():
+            break
+        hot = segs.join(crowded, "mh", "left_semi").select(segs.columns)
+    return out
 
 
 NEW = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
@@ -292,10 +395,9 @@ NEW = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(0, len(batch), 512):
-            part = batch.slice(k, 512)
-            raw, offs = flat(column(part, "__text"))
-            spans = column(part, "__spans")
+        for part in slices(batch, -2, CHUNK, 512):
+            raw, offs = flat(column(part, -2))
+            spans = column(part, -1)
             if spans.null_count:
                 spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(spans.value_lengths().fill_null(0).to_numpy())].astype(np.int32)), spans.flatten())
             row = np.repeat(np.arange(len(part)), np.diff(spans.offsets.to_numpy()))
@@ -313,22 +415,28 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.r_[0, np.cumsum(keep)][offs].tolist()
             pieces = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
             sha = [hashlib.sha256(x).hexdigest() for x in pieces]
-            fields = part.schema.names[:-2]
+            fields = [f"c{k}" for k in range(part.num_columns - 2)]
             text = [x.decode("utf-8", "ignore") for x in pieces]
             yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(room), pa.array(removed), pa.array(n.astype(np.int64)), pa.array(sha), pa.array(text, pa.string())], names=[*fields, *NEW])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each text without the bytes that a LENGTH-byte string covers which also starts earlier (smaller key, or same document and earlier start).
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept_text (each after the prefix) of each text without the bytes that a LENGTH-byte string covers which also starts earlier (smaller key, or same document and earlier start).
 
-    Strings never cross documents and are judged on the input. A null text counts as empty, one shorter than LENGTH loses nothing; a row with a null key is not compared and loses nothing.
+    Strings never cross documents and are judged on the input. A null text counts as empty, one shorter than LENGTH loses nothing; a row with a null key is not compared and loses nothing. Long texts are handled whole, in overlapping pieces; an empty table gives no rows.
     Rows that repeat a key count as one document: equal rows don't remove each other. Columns of docs stay, but those with one of the new names are replaced. kept_sha256 is of the remaining bytes; kept_text drops what is left of a cut character.
     """
-    base = docs.drop(*NEW)
-    spans = covered(docs, key, text).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("__spans")).withColumnRenamed("doc", "__doc")
-    joined = base.join(spans, base[key].cast("long") == F.col("__doc"), "left").select(*base.columns, F.col(text).alias("__text"), "__spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return joined.mapInArrow(_finish, schema)
+    new = [prefix + c for c in NEW]
+    base = docs.drop(*new)
+    own, hidden = free("__doc", *base.columns), [free("__text", *base.columns), free("__spans", *base.columns)]
+    spans = covered(docs, key, text).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias(hidden[1])).withColumnRenamed("doc", own)
+    base = base.withColumn(hidden[0], docs[text])
+    joined = base.join(spans, base[key].cast("long") == F.col(own), "left").drop(own)
+    kinds = [f.dataType.simpleString() for f in base.schema.fields[:-1]]
+    names = [*base.columns[:-1], *new]
+    # names of the caller's columns may be anything, so columns go by place
+    plain = joined.mapInArrow(lambda it: trimmed(_finish(it)), ", ".join([*(f"c{k} {t}" for k, t in enumerate(kinds)), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"]))
+    return plain.toDF(*names)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -337,6 +445,10 @@ def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document with its repeated bytes cut out; the rest of a cut character goes too. n_chars follows the text; a text that loses nothing stays as it is."""
-    own = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return remove_repeats(docs).select(*(own.get(c, F.col(c)).alias(c) for c in docs.columns))
+    """Pipeline stage: every document with its repeated bytes cut out; the rest of a cut character goes too. n_chars follows the text; a text that loses nothing, and every other column, stays as it is."""
+    prefix = "cut_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    lost, kept = F.col(f"{prefix}n_removed") > 0, F.col(f"{prefix}kept_text")
+    own = {"text": F.when(lost, kept).otherwise(F.col("text")), "n_chars": F.when(lost, F.length(kept).cast("long")).otherwise(F.col("n_chars"))}
+    return remove_repeats(docs, prefix=prefix).select(*(own.get(c, F.col(c)).alias(c) for c in docs.columns))

@@ -1,10 +1,10 @@
-"""Suffix arrays by induced sorting, swept bucket by bucket in vectors, and permuted common prefixes."""
+"""Suffix arrays by induced sorting, of bytes swept bucket by bucket in vectors, and permuted common prefixes."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from textloom.llm.base import prefix_hash, range_hash
+from textloom.llm.base import same_bytes
 
 
 def _classify(t: np.ndarray) -> np.ndarray:
@@ -80,81 +80,100 @@ class _Buckets:
         return sa
 
 
-def _rank_suffixes(names: np.ndarray, steps: int) -> np.ndarray:
-    """Order of the suffixes of a string of names, equal ones among them only if their first `steps` names agree. Names are doubled; only ties are sorted again."""
-    m = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(m, np.int64)
-    key = names[order]
-    head = np.r_[True, key[1:] != key[:-1]]
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(m), 0))
-    k = 1
-    while k < steps:
-        alone = head & np.r_[head[1:], True]
-        slot = np.flatnonzero(~alone)
-        if not len(slot):
-            break
-        tied = order[slot]
-        nxt = np.where(tied + k < m, rank[np.minimum(tied + k, m - 1)] + 1, 0)
-        again = np.lexsort((nxt, rank[tied]))
-        tied, nxt = tied[again], nxt[again]
-        own = rank[tied]
-        order[slot] = tied
-        new = np.r_[True, (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])]
-        head[slot] = new
-        rank[tied] = slot[np.maximum.accumulate(np.where(new, np.arange(len(slot)), 0))]
-        k *= 2
-    return order
-
-
-def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array of uint8 symbols whose last is 0 and occurs once. With depth, suffixes that agree on so many symbols may stand in any order.
-
-    Classify; induce from unsorted leftmost-smaller suffixes, which sorts their substrings; name these; sort the string of names; induce again.
-    The string of names is sorted by doubling ranks rather than by sweeping buckets: its buckets hold one or two suffixes each.
-    """
+def _names(t: np.ndarray, lms: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Names of the leftmost-smaller substrings in text order; by has their places in sorted order. Equal names are equal symbols."""
+    place = np.empty(len(t), np.int64)
+    place[lms] = np.arange(len(lms))
+    size = (np.minimum(np.r_[lms[1:], len(t) - 1] + 1, len(t)) - lms)[place[by]]
+    new = size[1:] != size[:-1]
+    new[~new] = ~same_bytes(t, by[1:][~new], t, by[:-1][~new], size[1:][~new])
+    names = np.empty(len(lms), np.int64)
+    names[place[by]] = np.cumsum(np.r_[0, new])
+    return names
+
+
+def _order(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names: at once if all differ, else by the same steps on the string of names."""
+    if names.max(initial=0) + 1 == len(names):
+        order = np.empty(len(names), np.int64)
+        order[names] = np.arange(len(names))
+        return order
+    return _integers(names)
+
+
+def _integers(t: np.ndarray) -> np.ndarray:
+    """Suffix array of a string of integers from 0 whose last is 0 and occurs once. Its buckets are small, so they are swept symbol by symbol."""
+    small = _classify(t)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    size = np.bincount(t)
+    ends = np.cumsum(size)
+    begins, ends, s, is_small = (ends - size).tolist(), ends.tolist(), t.tolist(), small.tolist()
+
+    def induce(tails_of: np.ndarray) -> list[int]:
+        sa = [-1] * len(s)
+        at = ends.copy()
+        for i in reversed(tails_of.tolist()):
+            at[s[i]] -= 1
+            sa[at[s[i]]] = i
+        at = begins.copy()
+        for i in sa:  # larger ones, left to right, as the list fills up
+            if i > 0 and not is_small[i - 1]:
+                c = s[i - 1]
+                sa[at[c]] = i - 1
+                at[c] += 1
+        at = ends.copy()
+        for i in reversed(sa):  # smaller ones, right to left
+            if i > 0 and is_small[i - 1]:
+                c = s[i - 1]
+                at[c] -= 1
+                sa[at[c]] = i - 1
+        return sa
+
+    if len(t) == 1:
+        return np.zeros(1, np.int64)
+    sa = np.array(induce(lms), np.int64)
+    is_lms = np.zeros(len(t), bool)
+    is_lms[lms] = True
+    names = _names(t, lms, sa[is_lms[sa]])
+    return np.array(induce(lms[_order(names)]), np.int64)
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Suffix array of uint8 symbols whose last is 0 and occurs once: classify, induce from unsorted leftmost-smaller suffixes, which sorts their substrings, name these, sort the string of names in the same way, induce again."""
     b = _Buckets(t)
     lms = b.lms
     if not len(lms):
         return b.induce(np.zeros(0, np.int64))
-    first = lms[np.argsort(t[lms], kind="stable")]
-    sa = b.induce(first)
+    sa = b.induce(lms[np.argsort(t[lms], kind="stable")])
     is_lms = np.zeros(len(t), bool)
     is_lms[lms] = True
-    by = sa[is_lms[sa]]
-    place = np.empty(len(t), np.int64)
-    place[lms] = np.arange(len(lms))
-    stop = np.minimum(np.r_[lms[1:], len(t) - 1] + 1, len(t))
-    size = (stop - lms)[place[by]]
-    h = range_hash(prefix_hash(t), by, by + size)
-    names = np.empty(len(lms), np.int64)
-    names[place[by]] = np.cumsum(np.r_[0, (h[1:] != h[:-1]) | (size[1:] != size[:-1])])
-    order = _rank_suffixes(names, len(lms) if depth is None else depth // 2 + 1)
-    return b.induce(lms[order])
+    return b.induce(lms[_order(_names(t, lms, sa[is_lms[sa]]))])
 
 
-def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, exact: bool = True) -> np.ndarray:
-    """For each place, the symbols (at most `most`) that its suffix shares with the one before it in the array. Prefix hashes are compared in text order, the full length first, the rest by bisection.
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, stop: int) -> np.ndarray:
+    """For each place in text order, the symbols up to the next one of at most `stop` that its suffix shares with the one before it in the array.
 
-    Without exact, values below `most` are 0.
+    A place whose predecessor's predecessor ends where its own begins shares one symbol less than the place before it; only the others are compared, all at once, eight symbols a step.
     """
     n = len(t)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    pre = prefix_hash(t)
-    out = np.zeros(n, np.int64)
-    i = np.flatnonzero((phi >= 0) & (np.maximum(np.arange(n), phi) + most <= n) & (t == t[phi]))
-    full = range_hash(pre, i, i + most) == range_hash(pre, phi[i], phi[i] + most)
-    out[i[full]] = most
-    if not exact:
-        return out
-    i = np.flatnonzero((phi >= 0) & (out < most))
-    low, high = np.zeros(len(i), np.int64), np.minimum(most, n - np.maximum(i, phi[i]))
-    while len(i):
-        mid = (low + high + 1) // 2
-        same = range_hash(pre, i, i + mid) == range_hash(pre, phi[i], phi[i] + mid)
-        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        done = low >= high
-        out[i[done]] = low[done]
-        i, low, high = i[~done], low[~done], high[~done]
-    return out
+    ends = np.flatnonzero(t <= stop)
+    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    follows = np.zeros(n, bool)
+    follows[1:] = (phi[1:] == phi[:-1] + 1) & (phi[:-1] >= 0) & (left[:-1] > 0) & (t[:-1] == t[np.maximum(phi[:-1], 0)])
+    i = np.flatnonzero(~follows & (phi >= 0) & (left > 0))
+    padded = np.concatenate([t, np.zeros(8, np.uint8)])
+    eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+    same = np.zeros(n, np.int64)
+    j, k = i, np.zeros(len(i), np.int64)
+    while len(j):
+        x = eight[np.minimum(j + k, n)] ^ eight[np.minimum(phi[j] + k, n)]
+        low = x & (~x + np.uint64(1))  # the lowest bit that differs
+        step = np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) >> 3)
+        k = k + step
+        done = (x != 0) | (k >= left[j])
+        same[j[done]] = np.minimum(k[done], left[j[done]])
+        j, k = j[~done], k[~done]
+    lead = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
+    return np.maximum(same[lead] - (np.arange(n) - lead), 0)
