@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.base import column, mix, slices
+from textloom.llm.base import bounded_batches, column, mix, slices, trimmed
 
 #: Characters of an n-gram.
 ORDER = 4
-#: The models are fitted on about so many documents of each language, and so many first characters of each of these (classifier fitting only; predictions read whole texts).
-FIT_DOCS, FIT_CHARS = 1000, 8000
+#: The models are fitted on about so many documents of each language, whole texts each (classifier fitting only; a longer text than PIECE characters is counted in pieces).
+FIT_DOCS, PIECE = 1000, 1 << 18
 #: One in so many fitting documents is left out of the counts and sets the rejection limit.
 CALIBRATE = 5
 #: Nats a character that a text may lie above the calibrated limit.
@@ -25,7 +25,7 @@ SLACK = 0.5
 #: Letters assumed for characters that no model has seen.
 ALPHABET = 2000
 #: Bytes scored at once, and the most that the broadcast models may take.
-CHUNK, MOST_MODEL = 1 << 20, 256 << 20
+CHUNK, MOST_MODEL = 1 << 18, 256 << 20
 
 
 @functools.cache
@@ -113,37 +113,74 @@ def _ordered(codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def entropies(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Nats a character of each text under each language, and its characters. A text without letters has none, and infinite entropy."""
+    """Nats a character of each text under each language, and its characters. A text without letters has none, and infinite entropy. Long texts are scored in ranges, each with the characters before it."""
     codes, of = letters(texts)
-    orders, place = _ordered(codes)
-    of = of[place]
-    letter = np.bincount(of[codes[place] != 32], minlength=len(texts))
+    letter, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     total = np.zeros((len(texts), len(model.langs)))
-    if len(place):
-        lp = log_prob(model, orders)
-        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        total[of[first]] = np.add.reduceat(lp, first, axis=0, dtype=np.float64)
-    n = np.bincount(of, minlength=len(texts))
+    for at in range(0, len(codes), PIECE):
+        before = min(at, ORDER)
+        own, whose = codes[at - before : at + PIECE], of[at - before : at + PIECE]
+        orders, place = _ordered(own)
+        new = place >= before
+        orders, place = [g[new] for g in orders], place[new]
+        if not len(place):
+            continue
+        row = whose[place]
+        letter += np.bincount(row[own[place] != 32], minlength=len(texts))
+        n += np.bincount(row, minlength=len(texts))
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        total[row[first]] += np.add.reduceat(log_prob(model, orders), first, axis=0, dtype=np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
         h = np.where(letter[:, None] > 0, -total / n[:, None], np.inf)
     return h, np.where(letter > 0, n, 0)
 
 
-def fit(texts: list[str], lang: str) -> Model:
-    """Interpolated Kneser-Ney: raw counts at the highest order, below it the number of distinct characters before an n-gram; one absolute discount an order."""
-    codes, _ = letters(texts)
-    place = np.flatnonzero(codes != 0)
+def pieces(texts: list[str], most: int = PIECE) -> Iterator[list[str]]:
+    """Groups of texts of about `most` characters; a longer text is cut."""
+    group, size = [], 0
+    for t in texts:
+        for k in range(0, len(t), most):
+            group.append(t[k : k + most])
+            size += len(group[-1])
+            if size >= most:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _suffix(rows: np.ndarray, n: int, back: int = 0) -> np.ndarray:
+    """grams() of the n code points that end `back` before each row's last."""
+    acc = np.zeros(len(rows), np.uint64)
+    for k in range(n - 1, -1, -1):
+        acc = acc * np.uint64(0x9E3779B97F4A7C15) + rows[:, ORDER - 1 - back - k].astype(np.uint64) + np.uint64(1)
+    return mix(acc + np.uint64(n))
+
+
+def count(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of ORDER code points (rows) that end at some character of the texts, and how often each does."""
+    rows, times = np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
+    for group in pieces(texts):
+        codes, _ = letters(group)
+        place = np.flatnonzero(codes != 0)
+        _, where, c = np.unique(grams(codes, ORDER)[place], return_index=True, return_counts=True)
+        rows, times = np.concatenate([rows, codes[place[where][:, None] + np.arange(1 - ORDER, 1)]]), np.concatenate([times, c])
+        _, first, back = np.unique(_suffix(rows, ORDER), return_index=True, return_inverse=True)
+        rows, times = rows[first], np.bincount(back, weights=times).astype(np.int64)
+    return rows, times
+
+
+def fit(rows: np.ndarray, times: np.ndarray, lang: str) -> Model:
+    """Interpolated Kneser-Ney of the counts: raw ones at the highest order, below it the number of distinct characters before an n-gram; one absolute discount an order."""
     model = Model([lang])
-    lower = upper = None
-    counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # n-gram, where one ends, count
+    counts = []  # n-gram, a row that ends with it, count
     for n in range(ORDER, 0, -1):
-        g = grams(codes, n)
         if n == ORDER:
-            key, where, c = np.unique(g[place], return_index=True, return_counts=True)
-            where = place[where]
+            key, where = np.unique(_suffix(rows, n), return_index=True)
+            c = times[where]
         else:
-            last = counts[-1][1]  # one place for each distinct longer n-gram: each is one distinct character before
-            key, back, c = np.unique(g[last], return_index=True, return_counts=True)
+            last = counts[-1][1]  # one row for each distinct longer n-gram: each is one distinct character before
+            key, back, c = np.unique(_suffix(rows[last], n), return_index=True, return_counts=True)
             where = last[back]
         counts.append((key, where, c))
     counts.reverse()
@@ -152,14 +189,14 @@ def fit(texts: list[str], lang: str) -> Model:
         key, where, c = counts[n - 1]
         ones, twos = (c == 1).sum(), (c == 2).sum()
         d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones and twos else 0.5
-        context = grams(codes, n - 1)[where - 1] if n > 1 else np.zeros(len(where), np.uint64)
+        context = _suffix(rows[where], n - 1, 1) if n > 1 else np.zeros(len(where), np.uint64)
         ck, inv, kinds = np.unique(context, return_inverse=True, return_counts=True)
         total = np.bincount(inv, weights=c, minlength=len(ck))
         gamma = d * kinds / np.maximum(total, 1)
         if n == 1:
             below = np.full(len(key), 1 / ALPHABET)
         else:
-            _, at = _find(counts[n - 2][0], grams(codes, n - 1)[where])
+            _, at = _find(counts[n - 2][0], _suffix(rows[where], n - 1))
             below = p_lower[at]
         p = np.maximum(c - d, 0) / np.maximum(total, 1)[inv] + gamma[inv] * below if len(ck) else np.zeros(0)
         model.keys.append(key)
@@ -167,7 +204,6 @@ def fit(texts: list[str], lang: str) -> Model:
         model.ctx.append(ck)
         model.back.append(np.log(gamma).astype(np.float32)[:, None] if len(ck) else np.zeros((1, 1), np.float32))
         p_lower = p
-    del lower, upper
     model.unseen = np.array([np.log(1 / ALPHABET)], np.float32)
     return model
 
@@ -187,17 +223,11 @@ def join(models: list[Model]) -> Model:
     return out
 
 
-def _fill(model: Model, texts: list[str], most: int = 1 << 17) -> None:
-    """Write into the joint table what a language backs off to for n-grams that only others have seen. Works through the fitting texts, so that each n-gram comes with its context."""
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size < most):
-            size += len(texts[to])
-            to += 1
-        codes, _ = letters(texts[at:to])
-        orders, _ = _ordered(codes)
-        at = to
+def _fill(model: Model, rows: np.ndarray, most: int = 1 << 17) -> None:
+    """Write into the joint table what a language backs off to for n-grams that only others have seen. rows: the distinct runs of all languages, which hold each n-gram with its context."""
+    for at in range(0, len(rows), most):
+        own = rows[at : at + most]
+        orders = [_suffix(own, n) for n in range(1, ORDER + 1)] + [_suffix(own, n, 1) for n in range(1, ORDER)]
         for n in range(1, ORDER + 1):
             table = model.logp[n - 1]
             hit, row = _find(model.keys[n - 1], orders[n - 1])
@@ -228,9 +258,9 @@ def bounded_sample(rows: DataFrame, label: str, most: int, key: str = "doc_id")
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Fit on rows with a text and a language. Each language's bounded sample is counted in a task of its own; the driver gets the finished arrays only.
 
-    Rows with a null text or language teach nothing. No usable rows: a model without languages, which answers und.
+    Rows with a null text or language teach nothing; repeated rows count each. No usable rows: a model without languages, which answers und.
     """
-    usable = rows.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.substring(F.col(text), 1, FIT_CHARS).alias("text")).where("text is not null")
+    usable = rows.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null")
     picked, _ = bounded_sample(usable, "lang", FIT_DOCS, "k")
 
     def train(frame: pd.DataFrame) -> pd.DataFrame:
@@ -239,44 +269,47 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         frame = frame.sort_values("k")
         name = frame["lang"].iloc[0]
         texts = frame["text"].tolist()
-        fitted = [t for i, t in enumerate(texts) if i % CALIBRATE or len(texts) < 2 * CALIBRATE]
-        model = fit(fitted, name)
-        h, n = entropies(model, texts[::CALIBRATE])
-        h = h[n >= 20, 0]
+        rows, times = count([t for i, t in enumerate(texts) if i % CALIBRATE or len(texts) < 2 * CALIBRATE])
+        model = fit(rows, times, name)
+        h = [h[n >= 20, 0] for h, n in (entropies(model, [t]) for t in texts[::CALIBRATE])]
+        h = np.concatenate(h) if h else np.zeros(0)
         model.limit = np.array([h.max() + SLACK if len(h) else np.inf])
-        sample = "\0".join(fitted)[: FIT_DOCS * FIT_CHARS]
-        return pd.DataFrame({"lang": [name], "model": [pickle.dumps(model)], "sample": [sample.encode("utf-8", "replace")]})
+        return pd.DataFrame({"lang": [name], "model": [pickle.dumps(model)], "rows": [rows.tobytes()]})
 
     import pickle
 
-    got = picked.groupBy("lang").applyInPandas(train, "lang string, model binary, sample binary").collect()
+    got = picked.groupBy("lang").applyInPandas(train, "lang string, model binary, rows binary").collect()
     if not got:
         return Model([])
     model = join([pickle.loads(r["model"]) for r in got])
-    _fill(model, [t for r in got for t in r["sample"].decode().split("\0")])
+    _fill(model, np.concatenate([np.frombuffer(r["rows"], np.uint32).reshape(-1, ORDER) for r in got]))
     if model.size() > MOST_MODEL:
         raise ValueError(f"language models of {model.size()} bytes exceed the broadcast bound; lower FIT_DOCS")
     return model
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1), entropy (nats a character, null where none) and rejected.
+NEW = ("lang_pred", "score", "entropy", "rejected")
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score (0 to 1), entropy (nats a character, null where none) and rejected, each after the prefix.
 
-    lang_pred has the lowest length-normalised cross-entropy over the whole text; ties go to the language first in the alphabet.
+    lang_pred has the lowest length-normalised cross-entropy over the whole text; ties go to the language first in the alphabet. Long texts are scored in ranges, with the same result. Each row is judged by itself, so repeated rows get equal answers; an empty table gives no rows.
     A null text, or one without letters: und, score 0, rejected. A text far above its language's calibrated entropy keeps its best language but is rejected.
     Columns of docs stay as they are; a docs column that has one of the new names is replaced.
     """
-    new = ("lang_pred", "score", "entropy", "rejected")
-    base = docs.drop(*new)
-    fields = [f for f in base.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, entropy double, rejected boolean"
+    bounded_batches(docs.sparkSession)
+    base = docs.drop(*(prefix + c for c in NEW))
+    place = base.columns.index(text)
+    schema = ", ".join([*(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(base.schema.fields)), "lang_pred string, score double, entropy double, rejected boolean"])
+    names = [*(f"c{k}" for k in range(len(base.columns))), *NEW]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in slices(batch, text, CHUNK):
-                texts = column(part, text).fill_null("").to_pylist()
+            for part in slices(batch, place, CHUNK):
+                texts = column(part, place).fill_null("").to_pylist()
                 if m.langs:
                     h, n = entropies(m, texts)
                 else:
@@ -287,10 +320,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 z = np.where(ok[:, None], (low[:, None] - h) * np.minimum(n, 100)[:, None], 0)
                 score = np.where(ok, 1 / np.exp(z).sum(axis=1), 0.0)
                 bar = (m.limit[best] if m.langs else np.zeros(len(h))) + 3 / np.sqrt(np.maximum(n, 1))
-                names = np.array([*m.langs, "und"], object)[np.where(ok, best, len(m.langs))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(low, mask=~ok), pa.array(~ok | (low > bar))], names=[*part.schema.names, *new])
+                langs = np.array([*m.langs, "und"], object)[np.where(ok, best, len(m.langs))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs.tolist(), pa.string()), pa.array(score), pa.array(low, mask=~ok), pa.array(~ok | (low > bar))], names=names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lambda it: trimmed(run(it)), schema).toDF(*base.columns, *(prefix + c for c in NEW))
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
@@ -301,6 +334,9 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language is recognised."""
+    """Pipeline stage: documents whose language is recognised, with the columns they came with."""
     model = learn(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    return identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    prefix = "lid_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return identify(docs, model, prefix=prefix).where(~F.col(f"{prefix}rejected")).select(*docs.columns)
