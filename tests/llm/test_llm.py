@@ -1,7 +1,9 @@
 """Training-data operators against brute force, round trips and held-out accuracy, on small fixtures."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -134,16 +136,57 @@ def test_language_id(spark):
     assert langid.identify(docs_of(spark, [(1, "some text")]), none).collect()[0]["lang_pred"] == "und"
 
 
-def test_kneser_ney_sums_to_one():
-    m = langid.fit(["the cat and the hat sat on the mat"], "en")
-    context = "the"
-    seen = sorted(set("the cat and the hat sat on the mat"))
-    total = 0.0
-    for c in seen:
-        codes, _ = langid.letters([context + c])
-        orders, _ = langid._ordered(codes)
-        total += float(np.exp(langid.log_prob(m, orders)[-1, 0]))
-    assert 0.9 < total <= 1.0001
+def plain_kneser_ney(texts):
+    """Probability of a character after three others with plain dictionaries."""
+    counts = {4: {}, 3: {}, 2: {}, 1: {}}
+    for t in texts:
+        w = "\0\0\0" + re.sub("[^a-z]+", " ", t.lower())
+        for k in range(3, len(w)):
+            counts[4][w[k - 3 : k + 1]] = counts[4].get(w[k - 3 : k + 1], 0) + 1
+    for n in (3, 2, 1):
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+
+    def p(g):
+        n = len(g)
+        if n == 0:
+            return 1 / langid.ALPHABET
+        ones, twos = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones and twos else 0.5
+        after = [c for x, c in counts[n].items() if x[:-1] == g[:-1]]
+        if not after:
+            return p(g[1:])
+        return max(counts[n].get(g, 0) - d, 0) / sum(after) + d * len(after) / sum(after) * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_as_plain_counts(monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 40)  # ranges when scoring; counting below takes whole texts
+    one, two = ["the cat and the hat sat on the mat", "a cat, the rat. and that!a"], ["der hund und die katze", "das haus und der baum"]
+    models = []
+    for lang, texts in (("b", two), ("a", one)):
+        m = langid.fit(*langid.count(texts), lang)
+        m.limit = np.array([9.0])
+        models.append(m)
+    both = langid.join(models)
+    langid._fill(both, np.concatenate([langid.count(x)[0] for x in (one, two)]))
+    asked = ["the hat and the dog on a haus und zebra the cat", "x", "katze " * 30]
+    h, n = langid.entropies(both, asked)
+    for k, texts in enumerate((one, two)):
+        p = plain_kneser_ney([x[i : i + 40] for x in texts for i in range(0, len(x), 40)])
+        for j, t in enumerate(asked):
+            w = "\0\0\0" + re.sub("[^a-z]+", " ", t)
+            want = -np.mean([np.log(p(w[i - 3 : i + 1])) for i in range(3, len(w))])
+            assert n[j] == len(w) - 3 and h[j, k] == pytest.approx(want, rel=1e-4)
+
+
+def test_language_columns_stay(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("score", F.lit("own")).withColumn("lang_pred", F.lit(7)).withColumn("lid_x", F.lit(1)).withColumn("n_removed", F.lit(5)).withColumn("kept_text", F.lit("own"))
+    got = langid.stage(spark, docs, SMALL)
+    assert got.columns == docs.columns and got.where("score = 'own' and lang_pred = 7 and lid_x = 1").count() == got.count() > 150
+    cut = repeats.stage(spark, docs, SMALL)
+    assert cut.columns == docs.columns and cut.where("n_removed = 5 and kept_text = 'own'").count() == 200
 
 
 # ---- 3 --------------------------------------------------------------------------------------------------------------
@@ -355,6 +398,41 @@ def test_toxicity(spark):
     assert not w.any() and b < 0
 
 
+def test_ftrl_as_plain_loops():
+    rng = random.Random(10)
+    rows = [(np.unique([rng.randrange(30) for _ in range(rng.randint(1, 9))]), int(rng.random() < 0.3)) for _ in range(60)]
+    model = toxicity.fit(rows)
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0 if i == 1 << toxicity.BITS else toxicity.L1_A_DOC * len(rows)
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - (1 if v > 0 else -1) * l1) / ((toxicity.BETA + n.get(i, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for f, y in rows:
+            at = [*f.tolist(), 1 << toxicity.BITS]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    at = np.arange((1 << toxicity.BITS) + 1)
+    got = dict(zip(at.tolist(), model.weights(at).tolist(), strict=True))
+    assert all(got[i] == pytest.approx(weight(i), abs=1e-9) for i in [*range(30), 1 << toxicity.BITS]) and sum(v != 0 for v in got.values()) > 5
+
+
+def test_toxicity_of_odd_tables(spark):
+    rows = [(f"k{k}", "nasty word" if k % 2 else "kind word") for k in range(40)] * 2
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("__low", F.lit("x")).withColumn("predicted", F.lit("y"))
+    labels = spark.createDataFrame([(f"k{k}", k % 2) for k in range(40)], "doc_id string, toxic int")
+    once, again = (toxicity.learn(df.repartition(n), labels) for n in (1, 5))
+    assert np.array_equal(once[0], again[0]) and once[1] == again[1]
+    got = toxicity.score(df, *once)
+    assert got.columns == ["doc_id", "text", "__low", "score", "predicted"] and got.where("__low = 'x'").distinct().count() == 40
+    assert toxicity.score(df.limit(0), *once).count() == 0
+
+
 # ---- pipeline -------------------------------------------------------------------------------------------------------
 
 
