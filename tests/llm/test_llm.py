@@ -41,7 +41,9 @@ def test_words_and_shingles():
     assert of.tolist() == [0, 2, 3, 3]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1 << 20, 0])
+def test_components(spark, at_once, monkeypatch):
+    monkeypatch.setattr(base, "AT_ONCE", at_once)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(None, 1), (7, 7)]
     got = {r["node"]: r["component"] for r in base.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}

@@ -272,8 +272,15 @@ def summed(parts: DataFrame) -> dict[int, np.ndarray]:
 # ---- connected components -------------------------------------------------------------------------------------------
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges a, b of each batch to the edges (member, least member) of the batch's own components."""
+#: Edges of forests that one task joins at once (16 bytes each); more are joined in rounds.
+AT_ONCE = 1 << 20
+
+
+def _forest(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Edges a, b of each batch, or of all batches, to the edges (member, least member) of their own components."""
+    if whole:
+        every = list(batches)
+        batches = pa.Table.from_batches(every).combine_chunks().to_batches() if every else []
     for batch in batches:
         a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         if not len(a):
@@ -298,7 +305,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """node, component (its least member) for the nodes of edges a, b (longs).
 
-    Each batch first shrinks its edges to a forest; then rounds of hooking every node onto the least label of its neighbours and of jumping over parents.
+    Each batch first shrinks its edges to a forest. If AT_ONCE edges are left at most, one task joins them; else rounds of hooking every node onto the least label of its neighbours and of jumping over parents.
     All steps are partially aggregated sums of minima and equi joins, so a hub costs no more than its edges. Rounds are logarithmic in a component's width.
     Edges with a null end are dropped, self edges do nothing, repeated edges count once; no edges give no rows.
     """
@@ -306,6 +313,10 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     cur = durable(clean.mapInArrow(_forest, "a long, b long").distinct(), name)  # b < a
     sig = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
     was = sig(cur)
+    if 0 < was[0] <= AT_ONCE:
+        old, cur = cur, durable(cur.coalesce(1).mapInArrow(lambda it: _forest(it, True), "a long, b long"), name)
+        release(old)
+        was = (0, None)
     while was[0]:
         # every node's least neighbour (itself included), then edges rewritten to hang on it: large star, small star
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
