@@ -95,12 +95,16 @@ def tagged(s):
     return [tuple(x.split("/")) for x in s.split()]
 
 
-def test_sticky():
-    m = lambda s: sticky.merge(tagged(s), sticky.PIPELINE)
+def test_sticky(spark):
+    def run(s, column):
+        df = spark.createDataFrame([(tagged(s),)], "pairs array<struct<word:string,flag:string>>")
+        return [tuple(t) for t in df.select(column.alias("r")).collect()[0]["r"]]
+
+    m = lambda s: run(s, sticky.merged(F.col("pairs"), sticky.PIPELINE))
     assert m("很/d 不/d 满意/v") == tagged("很/d 不满意/dv")
     assert m("不/d 满意/v") == tagged("不/d 满意/v")
     assert m("补/v 水/n 面膜/n") == tagged("补水/vn 面膜/n")
-    assert sticky.kept(m("面膜/x 补/v 水分/n"), sticky.PIPELINE) == tagged("补水分/vn")
+    assert run("面膜/x 补/v 水分/n", sticky.sticky(F.col("pairs"))) == tagged("补水分/vn")
     assert m("") == []
 
 

@@ -1,96 +1,104 @@
-"""Merging of stray single characters and negations with their neighbours, by part-of-speech weights."""
+"""Merging of stray single characters and negations with their neighbours, by part-of-speech weights: one fold over the tokens of a text, in Spark's own array functions."""
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import functions as F
 
 #: How loosely a word of a flag stands by itself, flags without an entry have 1 (fixed values).
-LOOSE = {"a": 5.2, "n": 3.5, "vn": 3.5, "ns": 3.5, "nt": 3.5, "nz": 3.5, "an": 3.5, "d": 6.5, "v": 6.5, "x": 0, "q": 2, "uj": 4, "ul": 4, "m": 3, "r": 6}
+LOOSE = {"a": 5.2, "n": 3.5, "vn": 3.5, "ns": 3.5, "nt": 3.5, "nz": 3.5, "an": 3.5, "d": 6.5, "v": 6.5, "x": 0.0, "q": 2.0, "uj": 4.0, "ul": 4.0, "m": 3.0, "r": 6.0}
 #: Flags that never stick: every substring of this (fixed value).
 FREE = "ujulxepcykzgqrmd"
+#: Words that stick to what follows (fixed values).
 NEGATIONS = ("不", "没", "无")
+#: Characters that never stick (fixed values); the pipeline has two more.
+STOP = "是也着很到就刚才蛮都让太去来找上下卖说有叫起要"
+#: What a text's last token has for a neighbour (fixed values).
+END = ("。", "x")
 
 
 @dataclass(frozen=True)
 class Rules:
     """stop: characters that never stick. wanted: a kept word's flag shares a character with it and its length is over `longer`; empty: any flag with a character other than x."""
 
-    stop: frozenset = field(default_factory=frozenset)
+    stop: str = ""
     wanted: str = ""
     longer: int = 0
     unwanted: str = ""
 
 
-#: Characters that never stick (fixed values); the pipeline has two more.
-STOP = "是也着很到就刚才蛮都让太去来找上下卖说有叫起要"
-WORDS = Rules(stop=frozenset(STOP), wanted="anvd", longer=1, unwanted="eng")
-PIPELINE = Rules(stop=frozenset(STOP + "使令"))
-
-
-def _weight(flag: str) -> float:
-    return LOOSE.get(flag, 1)
-
-
-def _against(flag: str) -> float:
-    w = _weight(flag)
-    return w if w in (0, 1) else 10 - w
-
-
-def merge(pairs: list[tuple[str, str]], rules: Rules) -> list[tuple[str, str]]:
-    """Walk over (word, flag) from the second token on; a stray character joins the side that pulls harder, a negation joins what follows."""
-    if not pairs:
-        return []
-    out, i, damp = [pairs[0]], 1, 1.0
-    while i < len(pairs):
-        word, flag = pairs[i]
-        before, after = pairs[i - 1], pairs[i + 1] if i + 1 < len(pairs) else ("。", "x")
-        skip = 2 if len(after[0]) > 1 else 1
-        stray = len(word) == 1 and word not in rules.stop and word not in NEGATIONS and flag not in FREE
-        if stray:
-            back = _weight(before[1]) ** 2 * _against(flag) / math.ceil(len(before[0]) / 2) * damp
-            ahead = _weight(flag) ** 2 * _against(after[1]) / math.ceil(len(after[0]) / 2)
-            if back >= ahead and back > 0:
-                if before[1] != flag:
-                    out[-1:] = [(before[0] + word, before[1] + flag)]
-                else:
-                    out.append((word, flag))
-                i, damp = i + 1, 1.0
-            elif back < ahead and ahead > 0:
-                if flag != after[1]:
-                    out.append((word + after[0], flag + after[1]))
-                    i += skip
-                else:
-                    out.append((word, flag))
-                    i += 1
-                damp = 0.2
-            else:
-                out.append((word, flag))
-                i, damp = i + 1, 1.0
-        elif word in NEGATIONS and after[1] != "x":
-            out.append((word + after[0], flag + after[1]))
-            i, damp = i + skip, 0.2
-        else:
-            out.append((word, flag))
-            i, damp = i + 1, 1.0
-    return out
-
-
-def kept(pairs: list[tuple[str, str]], rules: Rules) -> list[tuple[str, str]]:
-    if rules.wanted:
-        return [(w, f) for w, f in pairs if len(w) > rules.longer and set(f) & set(rules.wanted) and f != rules.unwanted]
-    return [(w, f) for w, f in pairs if f.strip("x")]
+WORDS = Rules(STOP, "anvd", 1, "eng")
+PIPELINE = Rules(STOP + "使令")
 
+_PAIR = "struct<word:string,flag:string>"
 
-def sticky(pairs: Column, rules: Rules = PIPELINE) -> Column:
-    """array<struct<word,flag>> merged and filtered; null gives an empty array."""
 
-    @pandas_udf("array<struct<word:string,flag:string>>")
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([[{"word": w, "flag": f} for w, f in kept(merge([(t["word"], t["flag"]) for t in row] if row is not None else [], rules), rules)] for row in rows])
+def loose(flag: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in LOOSE.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, flag), F.lit(1.0))
+
+
+def tight(flag: Column) -> Column:
+    return F.when(loose(flag).isin(0.0, 1.0), loose(flag)).otherwise(10.0 - loose(flag))
+
+
+def _glued(a: Column, b: Column) -> Column:
+    return F.struct(F.concat(a["word"], b["word"]).alias("word"), F.concat(a["flag"], b["flag"]).alias("flag"))
+
 
-    return run(pairs)
+def _facts(t: Column, rules: Rules) -> Column:
+    """What the fold needs to know of a token between its neighbours: both pulls, and which rule is for it."""
+    here, before, after = t["here"], t["before"], t["after"]
+    halves = lambda x: F.ceil(F.length(x["word"]) / 2)
+    negation = here["word"].isin(*NEGATIONS)
+    stray = (F.length(here["word"]) == 1) & ~negation & ~F.lit(rules.stop).contains(here["word"]) & ~F.lit(FREE).contains(here["flag"])
+    return F.struct(
+        here.alias("here"), before.alias("before"), after.alias("after"),
+        (F.pow(loose(before["flag"]), F.lit(2)) * tight(here["flag"]) / halves(before)).alias("back"),
+        (F.pow(loose(here["flag"]), F.lit(2)) * tight(after["flag"]) / halves(after)).alias("ahead"),
+        F.coalesce(stray, F.lit(False)).alias("stray"), F.coalesce(negation & (after["flag"] != "x"), F.lit(False)).alias("negates"),
+    )
+
+
+def merged(pairs: Column, rules: Rules) -> Column:
+    """array<struct<word,flag>> in which stray characters and negations are glued to a neighbour. pairs: a plain column, as it is read several times; null stays null.
+
+    A stray character goes to the side that pulls harder, the earlier one if both pull alike; side and character of one flag stay apart. What went ahead weakens the next token's pull backwards, and a longer word that was glued on is not looked at again.
+    The last word of the result is kept apart in the fold's state, because a character that goes back replaces it by its own neighbour and itself.
+    """
+    n = F.size(pairs)
+    end = F.array(F.struct(F.lit(END[0]).alias("word"), F.lit(END[1]).alias("flag")))
+    around = F.arrays_zip(pairs.alias("here"), F.concat(end, F.slice(pairs, 1, F.greatest(n - 1, F.lit(0)))).alias("before"), F.concat(F.slice(pairs, 2, F.greatest(n - 1, F.lit(0))), end).alias("after"))
+    tokens = F.transform(around, lambda t: _facts(t, rules))
+    start = F.struct(F.lit(0).alias("skip"), F.lit(1.0).alias("damp"), F.array().cast(f"array<{_PAIR}>").alias("done"), F.lit(None).cast(_PAIR).alias("last"))
+
+    def step(s: Column, t: Column) -> Column:
+        begun = s["last"].isNotNull()
+        back, ahead = t["back"] * s["damp"], t["ahead"]
+        goes_back = begun & t["stray"] & (back >= ahead) & (back > 0)
+        goes_ahead = begun & ((t["stray"] & (back < ahead) & (ahead > 0)) | t["negates"])
+        replaces = goes_back & (t["before"]["flag"] != t["here"]["flag"])
+        takes = goes_ahead & (t["negates"] | (t["here"]["flag"] != t["after"]["flag"]))
+        word = F.when(replaces, _glued(t["before"], t["here"])).when(takes, _glued(t["here"], t["after"])).otherwise(t["here"])
+        passed = s["skip"] > 0
+        return F.struct(
+            F.when(passed, s["skip"] - 1).when(takes & (F.length(t["after"]["word"]) > 1), 1).otherwise(0).alias("skip"),
+            F.when(passed, s["damp"]).when(goes_ahead, 0.2).otherwise(1.0).alias("damp"),
+            F.when(passed | replaces | ~begun, s["done"]).otherwise(F.array_append(s["done"], s["last"])).alias("done"),
+            F.when(passed, s["last"]).otherwise(word).alias("last"),
+        )
+
+    return F.aggregate(tokens, start, step, lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["last"])))
+
+
+def kept(pairs: Column, rules: Rules) -> Column:
+    if not rules.wanted:
+        return F.filter(pairs, lambda t: t["flag"].rlike("[^x]"))
+    return F.filter(pairs, lambda t: (F.length(t["word"]) > rules.longer) & t["flag"].rlike(f"[{rules.wanted}]") & (t["flag"] != rules.unwanted))
+
+
+def sticky(pairs: Column, rules: Rules = PIPELINE) -> Column:
+    """array<struct<word,flag>> merged and filtered; null gives an empty array. pairs: a plain column."""
+    return F.coalesce(kept(merged(pairs, rules), rules), F.array().cast(f"array<{_PAIR}>"))

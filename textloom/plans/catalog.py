@@ -70,16 +70,41 @@ def t6_drop_marks(spark, d):
 
 def _sticky(spark, d, rules):
     df = read(spark, d, "conversations")
-    out = sticky.sticky(flagged(low_tokens(df, text.MARKS)), rules)
+    df = df.select("conv_id", "turn", flagged(low_tokens(df, text.MARKS)).alias("pairs"))
+    out = sticky.sticky(F.col("pairs"), rules)
     return df.select("conv_id", "turn", F.array_join(F.transform(out, lambda t: F.concat(t["word"], F.lit("/"), t["flag"])), " ").alias("words"))
 
 
-@query()
+def _sticky_sql(rules: sticky.Rules) -> str:
+    """The fold as a list reduction over tokens with their neighbours."""
+    loose = lambda f: "CASE " + " ".join(f"WHEN {f} = '{k}' THEN {v}" for k, v in sticky.LOOSE.items()) + " ELSE 1.0 END"
+    tight = lambda f: f"CASE WHEN ({loose(f)}) IN (0.0, 1.0) THEN ({loose(f)}) ELSE 10.0 - ({loose(f)}) END"
+    end = f"{{'w': '{sticky.END[0]}', 'f': '{sticky.END[1]}'}}"
+    negates = "t.h.w IN ('" + "', '".join(sticky.NEGATIONS) + "')"
+    keep = f"length(x.w) > {rules.longer} AND regexp_matches(x.f, '[{rules.wanted}]') AND x.f <> '{rules.unwanted}'" if rules.wanted else "regexp_matches(x.f, '[^x]')"
+    goes_back = "s.last IS NOT NULL AND t.stray AND t.back * s.damp >= t.ahead AND t.back * s.damp > 0"
+    goes_ahead = "s.last IS NOT NULL AND ((t.stray AND t.back * s.damp < t.ahead AND t.ahead > 0) OR t.neg)"
+    replaces, takes = f"({goes_back} AND t.b.f <> t.h.f)", f"({goes_ahead} AND (t.neg OR t.h.f <> t.n.f))"
+    return rf"""
+WITH toks AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[0-9]+|\p{{L}}+|[^\s0-9\p{{L}}]') AS a FROM conversations),
+p AS (SELECT conv_id, turn, [{{'w': w, 'f': {FLAG_SQL}}} FOR w IN a] AS p FROM toks),
+z AS (SELECT conv_id, turn, [{{'h': p[i], 'b': CASE WHEN i > 1 THEN p[i - 1] ELSE {end} END, 'n': CASE WHEN i < len(p) THEN p[i + 1] ELSE {end} END}} FOR i IN range(1, len(p) + 1)] AS z FROM p),
+y AS (SELECT conv_id, turn, [{{'h': t.h, 'b': t.b, 'n': t.n, 'neg': {negates} AND t.n.f <> 'x', 'stray': length(t.h.w) = 1 AND NOT {negates} AND NOT contains('{rules.stop}', t.h.w) AND NOT contains('{sticky.FREE}', t.h.f),
+  'back': power({loose("t.b.f")}, 2) * ({tight("t.h.f")}) / ceil(length(t.b.w) / 2), 'ahead': power({loose("t.h.f")}, 2) * ({tight("t.n.f")}) / ceil(length(t.n.w) / 2)}} FOR t IN z] AS y FROM z),
+r AS (SELECT conv_id, turn, list_reduce(y, lambda s, t: CASE WHEN s.skip > 0 THEN {{'skip': s.skip - 1, 'damp': s.damp, 'done': s.done, 'last': s.last}} ELSE {{
+  'skip': CASE WHEN {takes} AND length(t.n.w) > 1 THEN 1 ELSE 0 END, 'damp': CASE WHEN {goes_ahead} THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END,
+  'done': CASE WHEN s.last IS NULL OR {replaces} THEN s.done ELSE list_append(s.done, s.last) END,
+  'last': CASE WHEN {replaces} THEN {{'w': t.b.w || t.h.w, 'f': t.b.f || t.h.f}} WHEN {takes} THEN {{'w': t.h.w || t.n.w, 'f': t.h.f || t.n.f}} ELSE t.h END}} END,
+  {{'skip': 0, 'damp': 1.0::DOUBLE, 'done': []::STRUCT(w VARCHAR, f VARCHAR)[], 'last': NULL::STRUCT(w VARCHAR, f VARCHAR)}}) AS r FROM y)
+SELECT conv_id, turn, coalesce(array_to_string([x.w || '/' || x.f FOR x IN list_append(r.done, r.last) IF {keep}], ' '), '') AS words FROM r"""
+
+
+@query(_sticky_sql(sticky.WORDS))
 def t4_sticky_words(spark, d):
     return _sticky(spark, d, sticky.WORDS)
 
 
-@query()
+@query(_sticky_sql(sticky.PIPELINE))
 def t5_sticky_pipeline(spark, d):
     return _sticky(spark, d, sticky.PIPELINE)
 
