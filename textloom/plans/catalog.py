@@ -163,20 +163,62 @@ def l1_length(spark, d):
     return _item_pairs(spark, d).select("item_id", lcss.length(F.col("a"), F.col("b")).alias("length"))
 
 
-@query()
+_ORDERS = f"""
+RECURSIVE t AS (SELECT item_id, {TOKENS_SQL} AS a FROM benchmark),
+p AS (SELECT x.item_id, 1 AS o, x.a, y.a AS b FROM t x JOIN t y ON y.item_id = x.item_id + 1 UNION ALL SELECT x.item_id, 2, y.a, x.a FROM t x JOIN t y ON y.item_id = x.item_id + 1),
+tab AS (SELECT item_id, o, a, b, list_reduce(range(1, len(a) + 1), lambda acc, i: list_append(acc, list_reduce(range(1, len(b) + 1), lambda r, j: list_append(r, CASE WHEN b[j] = a[i] THEN acc[i][j] + 1 ELSE greatest(acc[i][j + 1], r[j]) END), [0::BIGINT])),
+  [list_transform(range(0, len(b) + 1), lambda x: 0::BIGINT)]) AS m FROM p),
+way AS (SELECT item_id, o, len(a) AS i, len(b) AS j, false AS hit FROM tab UNION ALL
+  SELECT w.item_id, w.o, CASE WHEN a[w.i] = b[w.j] OR m[w.i + 1][w.j] <= m[w.i][w.j + 1] THEN w.i - 1 ELSE w.i END, CASE WHEN a[w.i] = b[w.j] OR m[w.i + 1][w.j] > m[w.i][w.j + 1] THEN w.j - 1 ELSE w.j END, a[w.i] = b[w.j]
+  FROM way w JOIN tab USING (item_id, o) WHERE m[w.i + 1][w.j + 1] > 0),
+hits AS (SELECT item_id, o, a[i + 1] AS w, CASE o WHEN 1 THEN i ELSE j END AS x, CASE o WHEN 1 THEN j ELSE i END AS y FROM way JOIN tab USING (item_id, o) WHERE hit),
+found AS (SELECT tab.item_id, tab.o, coalesce(list(w ORDER BY x) FILTER (w IS NOT NULL), []) AS que, coalesce(list(x ORDER BY x) FILTER (w IS NOT NULL), []) AS loc1, coalesce(list(y ORDER BY x) FILTER (w IS NOT NULL), []) AS loc2 FROM tab LEFT JOIN hits USING (item_id, o) GROUP BY ALL)"""
+
+
+def _joined(r: str) -> list[Column]:
+    return [F.array_join(f"{r}.que", " ").alias("que"), *(F.array_join(F.col(f"{r}.{x}").cast("array<string>"), ",").alias(x) for x in ("loc1", "loc2"))]
+
+
+_SHOWN = "array_to_string(que, ' ') AS que, array_to_string(loc1, ',') AS loc1, array_to_string(loc2, ',') AS loc2"
+
+
+@query(f"WITH {_ORDERS} SELECT item_id, {_SHOWN} FROM found WHERE o = 1")
 def l1_path(spark, d):
-    return _item_pairs(spark, d).select("item_id", lcss.path(F.col("a"), F.col("b")).alias("r")).select("item_id", "r.que", "r.loc1", "r.loc2")
+    return _item_pairs(spark, d).select("item_id", lcss.path(F.col("a"), F.col("b")).alias("r")).select("item_id", *_joined("r"))
 
 
-@query()
+_GAP = "greatest(loc1[{0} + 1] - loc1[{0}], loc2[{0} + 1] - loc2[{0}]) = 1"
+_KEPT = f"list_filter(range(1, len(que) + 1), lambda k: (k > 1 AND {_GAP.format('(k - 1)')}) OR (k < len(que) AND {_GAP.format('k')}))"
+
+
+@query(
+    f"""WITH {_ORDERS}, kept AS (SELECT *, {_KEPT} AS k FROM found),
+near AS (SELECT item_id, o, list_transform(k, lambda i: que[i]) AS que, list_transform(k, lambda i: loc1[i]) AS loc1, list_transform(k, lambda i: loc2[i]) AS loc2 FROM kept),
+gaps AS (SELECT *, CASE WHEN len(que) > 1 THEN (loc1[-1] - loc1[1] + loc2[-1] - loc2[1]) / (2.0 * (len(que) - 1)) END AS gap FROM near),
+best AS (SELECT CASE WHEN x.que = y.que OR coalesce(x.gap <= y.gap, false) THEN x ELSE y END AS r FROM gaps x JOIN gaps y ON x.item_id = y.item_id AND x.o = 1 AND y.o = 2),
+flat AS (SELECT r.item_id AS item_id, r.que AS que, r.loc1 AS loc1, r.loc2 AS loc2, len(p.a) AS n1, len(p.b) AS n2, len(r.que) AS n FROM best JOIN p ON p.item_id = r.item_id AND p.o = 1),
+sums AS (SELECT *, ceil(least(n1, n2) * 0.75) AS need, ceil(greatest(n1, n2) * 0.5) AS half, list_sum(list_transform(loc1, lambda v: (n1 - v)::DOUBLE)) / (n1 * (n1 + 1) / 2.0) AS s1, list_sum(list_transform(loc2, lambda v: (n2 - v)::DOUBLE)) / (n2 * (n2 + 1) / 2.0) AS s2 FROM flat)
+SELECT item_id, {_SHOWN}, round(CASE WHEN n = 0 THEN 0 ELSE greatest(s1, s2) * CASE WHEN n >= need AND (n >= half OR n >= 10) THEN 1 ELSE n / greatest(need, half) END END, 6) AS similarity FROM sums"""
+)
 def l4_unique(spark, d):
     rows = _item_pairs(spark, d).select("item_id", F.size("a").alias("n1"), F.size("b").alias("n2"), lcss.unique_path(F.col("a"), F.col("b")).alias("r"))
-    return rows.select("item_id", "r.que", "r.loc1", "r.loc2", F.round(lcss.distance(F.col("n1"), F.col("n2"), F.col("r.loc1"), F.col("r.loc2")), 6).alias("similarity"))
+    return rows.select("item_id", *_joined("r"), F.round(lcss.distance(F.col("n1"), F.col("n2"), F.col("r.loc1"), F.col("r.loc2")), 6).alias("similarity"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS (SELECT item_id, {TOKENS_SQL} AS a FROM benchmark), p AS (SELECT x.item_id, x.a, y.a AS b FROM t x JOIN t y ON y.item_id = x.item_id + 1),
+tab AS (SELECT item_id, a, b, list_reduce(range(1, len(a) + 1), lambda acc, i: list_append(acc, list_reduce(range(1, len(b) + 1), lambda r, j: list_append(r, CASE WHEN b[len(b) + 1 - j] = a[len(a) + 1 - i] THEN acc[i][j] + 1 ELSE greatest(acc[i][j + 1], r[j]) END), [0::BIGINT])),
+  [list_transform(range(0, len(b) + 1), lambda x: 0::BIGINT)]) AS m FROM p),
+x AS (SELECT item_id, a, b, m, unnest(range(1, len(a) + 1)) AS i FROM tab), xy AS (SELECT *, unnest(range(1, len(b) + 1)) AS j FROM x),
+cell AS (SELECT item_id, i - 1 AS i, j - 1 AS j, a[i] AS w, 1 + m[len(a) - i + 1][len(b) - j + 1] AS depth FROM xy WHERE a[i] = b[j]),
+nxt AS (SELECT c.item_id, c.i, c.j, min(n.i * 100000 + n.j) AS go FROM cell c JOIN cell n ON n.item_id = c.item_id AND n.depth = c.depth - 1 AND n.i > c.i AND n.j > c.j GROUP BY ALL),
+way AS (SELECT item_id, i AS root_i, j AS root_j, i, j, w, depth FROM cell WHERE depth = (SELECT max(depth) FROM cell c WHERE c.item_id = cell.item_id) UNION ALL
+  SELECT w.item_id, w.root_i, w.root_j, c.i, c.j, c.w, c.depth FROM way w JOIN nxt USING (item_id, i, j) JOIN cell c ON c.item_id = w.item_id AND c.i = go // 100000 AND c.j = go % 100000)
+SELECT item_id, string_agg(w, '' ORDER BY i) AS text, string_agg(i::VARCHAR, ',' ORDER BY i) AS loc1, string_agg(j::VARCHAR, ',' ORDER BY i) AS loc2 FROM way GROUP BY item_id, root_i, root_j"""
+)
 def l8_peeled(spark, d):
-    return _item_pairs(spark, d).select("item_id", F.explode(lcss.peeled_paths(F.col("a"), F.col("b"))).alias("r")).select("item_id", "r.text", "r.loc1", "r.loc2")
+    rows = _item_pairs(spark, d).select("item_id", F.explode(lcss.peeled_paths(F.col("a"), F.col("b"))).alias("r"))
+    return rows.select("item_id", "r.text", *(F.array_join(F.col(f"r.{x}").cast("array<string>"), ",").alias(x) for x in ("loc1", "loc2")))
 
 
 def _points(spark, d):
@@ -246,24 +288,58 @@ def _turns(df: DataFrame) -> Column:
     return F.concat_ws("-", df["conv_id"].cast("string"), df["turn"].cast("string"))
 
 
+_TURNS = rf"""
+toks AS (SELECT conv_id || '-' || turn AS doc, {TOKENS_SQL} AS a FROM conversations), rows AS (SELECT doc, unnest(a) AS w, unnest(range(0, len(a))) AS pos FROM toks),
+hits AS (SELECT w, round(avg(length(w)) / 10, 2) AS coef FROM (SELECT unnest({TOKENS_SQL}) AS w FROM benchmark) WHERE length(w) > 4 GROUP BY w),
+k AS (SELECT doc, w, {FLAG_SQL} AS flag, {_V1_SIDE.replace("flag", "(" + FLAG_SQL + ")")} AS side, w IN (SELECT w FROM hits) AS hit, pos FROM rows)"""
+
+
+def _targets(spark, d):
+    b = read(spark, d, "benchmark")
+    return b.select(F.explode(low_tokens(b)).alias("word")).where(F.length("word") > 4).groupBy("word").agg(F.round(F.avg(F.length("word")) / 10, 2).alias("coef"))
+
+
+def _turn_pairs(spark, d):
+    df = read(spark, d, "conversations")
+    return df.select(_turns(df).alias("doc"), flagged(low_tokens(df)).alias("pairs"))
+
+
+_SUMS = "round(s, 6) AS sum_relevance, n AS total_num, round(s / n, 6) AS avg_relevance, round(s * s / n, 6) AS final_coef, rank() OVER (PARTITION BY flag_word ORDER BY round(s * s / n, 9) DESC) AS rank_in_flag_word"
+
+
 @query(
-    rf"""
-WITH toks AS (SELECT conv_id || '-' || turn AS doc, {TOKENS_SQL} AS a FROM conversations),
-rows AS (SELECT doc, unnest(a) AS w, unnest(range(0, len(a))) AS pos FROM toks),
-hits AS (SELECT DISTINCT w FROM (SELECT unnest({TOKENS_SQL}) AS w FROM benchmark) WHERE length(w) > 4),
-k AS (SELECT doc, w, {_V1_SIDE.replace("flag", "(" + FLAG_SQL + ")")} AS side, w IN (FROM hits) AS hit, pos FROM rows),
-i AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) AS i FROM k WHERE hit OR side > 0),
+    f"""WITH {_TURNS}, i AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) AS i FROM k WHERE hit OR side > 0),
 e AS (SELECT a.doc, a.w AS flag_word, b.w AS target_word, max(a.side / CASE WHEN a.i = b.i THEN 0.9 ELSE abs(a.i - b.i) END) AS r FROM i a JOIN i b ON a.doc = b.doc AND a.side > 0 AND b.hit GROUP BY ALL),
-s AS (SELECT flag_word, target_word, sum(r) AS s, count(*) AS n FROM e GROUP BY ALL)
-SELECT flag_word, target_word, round(s, 6) AS sum_relevance, n AS total_num, round(s / n, 6) AS avg_relevance, round(s * s / n, 6) AS final_coef,
-  rank() OVER (PARTITION BY flag_word ORDER BY round(s * s / n, 9) DESC) AS rank_in_flag_word FROM s"""
+s AS (SELECT flag_word, target_word, sum(r) AS s, count(*) AS n FROM e GROUP BY ALL), z AS (SELECT flag_word, target_word, {_SUMS} FROM s) SELECT z.*, coef FROM z JOIN hits ON w = target_word"""
 )
 def r2_relevance_words(spark, d):
-    df = read(spark, d, "conversations")
-    docs = df.select(_turns(df).alias("doc"), flagged(low_tokens(df)).alias("pairs"))
+    got = relevance.summary(relevance.near_pairs(_turn_pairs(spark, d), _targets(spark, d)), _targets(spark, d))
+    return rounded(got, "sum_relevance", "avg_relevance", "final_coef")
+
+
+_FLAGGED = """
+e AS (SELECT a.doc, a.w AS flag_word, b.w AS target_word, max({side} / power(CASE WHEN a.pos = b.pos THEN 0.9 ELSE abs(a.pos - b.pos) END, CASE WHEN a.pos = b.pos THEN 0.9 ELSE abs(a.pos - b.pos) END / 2.0)) AS r,
+  arg_min(a.flag, a.pos) AS ff, arg_min(b.flag, b.pos) AS tf FROM k a JOIN k b ON a.doc = b.doc{where} GROUP BY ALL),
+s AS (SELECT flag_word, target_word, sum(r) AS s, count(*) AS n, arg_min(ff, doc) AS flag_flag, arg_min(tf, doc) AS target_flag FROM e GROUP BY ALL)"""
+
+
+@query(f"""WITH {_TURNS}, {_FLAGGED.format(side="a.side", where=" AND a.side > 0 AND b.hit")}, z AS (SELECT flag_word, target_word, flag_flag, target_flag, {_SUMS} FROM s) SELECT z.*, coef FROM z JOIN hits ON w = target_word""")
+def r3_relevance_targets(spark, d):
+    """Words with a weighted flag against target words by original positions, with both flags and the target's coefficient."""
+    got = relevance.summary(relevance.flagged_pairs(_turn_pairs(spark, d), _targets(spark, d)), _targets(spark, d))
+    return rounded(got, "sum_relevance", "avg_relevance", "final_coef")
+
+
+_ITEMS = rf"""
+toks AS (SELECT item_id AS doc, {TOKENS_SQL} AS a FROM benchmark), rows AS (SELECT doc, unnest(a) AS w, unnest(range(0, len(a))) AS pos FROM toks), k AS (SELECT doc, w, {FLAG_SQL} AS flag, pos FROM rows)"""
+
+
+@query(f"""WITH {_ITEMS}, {_FLAGGED.format(side="1", where="")} SELECT flag_word, target_word, flag_flag, target_flag, {_SUMS} FROM s""")
+def r4_relevance_flags(spark, d):
+    """Every word of an item against every other, with the flags of the first pair."""
     b = read(spark, d, "benchmark")
-    targets = b.select(F.explode(low_tokens(b)).alias("word")).where(F.length("word") > 4).distinct()
-    return rounded(relevance.summary(relevance.near_pairs(docs, targets)), "sum_relevance", "avg_relevance", "final_coef")
+    got = relevance.summary(relevance.flagged_pairs(b.select(F.col("item_id").alias("doc"), flagged(low_tokens(b)).alias("pairs"))))
+    return rounded(got, "sum_relevance", "avg_relevance", "final_coef")
 
 
 _V2 = rf"""
@@ -511,8 +587,8 @@ def p5_vote(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT c_nationkey, c_custkey % 4 AS v, 1.0 / (1 + c_custkey % 8) AS w FROM customer), n AS (SELECT c_nationkey, count(*) AS n FROM r GROUP BY ALL), s AS (SELECT c_nationkey, v, sum(w) AS s FROM r GROUP BY ALL),
-b AS (SELECT c_nationkey, max(s) AS s, arg_max(v, s) AS v FROM s GROUP BY ALL) SELECT c_nationkey, CASE WHEN s * n / nullif(2.0 * (n - 1), 0) >= 0.5 THEN v END AS vote FROM b JOIN n USING (c_nationkey)"""
+    """WITH r AS (SELECT c_nationkey, c_custkey % 4 AS v, 1.0 / (1 + c_custkey % 8) AS w FROM customer), n AS (SELECT c_nationkey, count(*) AS n FROM r GROUP BY ALL), s AS (SELECT c_nationkey, v, round(sum(w), 9) AS s FROM r GROUP BY ALL),
+b AS (SELECT c_nationkey, s, v FROM s QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY s DESC, v) = 1) SELECT c_nationkey, CASE WHEN s * n / nullif(2.0 * (n - 1), 0) >= 0.5 THEN v END AS vote FROM b JOIN n USING (c_nationkey)"""
 )
 def p5_weighted_vote(spark, d):
     rows = read(spark, d, "customer").select("c_nationkey", (F.col("c_custkey") % 4).alias("v"), (1.0 / (1 + F.col("c_custkey") % 8)).alias("w"))
@@ -613,7 +689,7 @@ def q6_accuracy(spark, d):
     return rounded(sequences.exact_accuracy(pairs, "want", "got"), "accuracy", digits=9)
 
 
-@query()
+@query(f"WITH {_SEQS} SELECT k, array_to_string(y, ' ') AS y FROM seqs")
 def q5_decode(spark, d):
     """Greedy decoding with a stand-in model: the generator's own rule for the next answer token."""
     from textloom.operators.decode import decode
