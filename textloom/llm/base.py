@@ -302,21 +302,31 @@ def _forest(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[root[keep]])], names=["a", "b"])
 
 
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of all edges, and the least of its component."""
+    for batch in _forest(batches, True):
+        node, root = (batch.column(k).to_numpy() for k in (0, 1))
+        roots = np.unique(root)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, roots])), pa.array(np.concatenate([root, roots]))], names=["node", "component"])
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """node, component (its least member) for the nodes of edges a, b (longs).
+    """node, component (its least member) for the nodes of edges a, b (longs): a durable table.
 
     Each batch first shrinks its edges to a forest. If AT_ONCE edges are left at most, one task joins them; else rounds of hooking every node onto the least label of its neighbours and of jumping over parents.
     All steps are partially aggregated sums of minima and equi joins, so a hub costs no more than its edges. Rounds are logarithmic in a component's width.
     Edges with a null end are dropped, self edges do nothing, repeated edges count once; no edges give no rows.
     """
     clean = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    cur = durable(clean.mapInArrow(_forest, "a long, b long").distinct(), name)  # b < a
+    forest = durable(clean.mapInArrow(_forest, "a long, b long"), name)  # b < a
+    if forest.count() <= AT_ONCE:
+        out = durable(forest.coalesce(1).mapInArrow(_labels, "node long, component long"), name)
+        release(forest)
+        return out
+    cur = durable(forest.distinct(), name)
+    release(forest)
     sig = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
     was = sig(cur)
-    if 0 < was[0] <= AT_ONCE:
-        old, cur = cur, durable(cur.coalesce(1).mapInArrow(lambda it: _forest(it, True), "a long, b long"), name)
-        release(old)
-        was = (0, None)
     while was[0]:
         # every node's least neighbour (itself included), then edges rewritten to hang on it: large star, small star
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -331,4 +341,6 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
             break
         was = now
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    out = durable(cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), name)
+    release(cur)
+    return out
