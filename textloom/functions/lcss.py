@@ -25,12 +25,19 @@ def length(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), n + 1), row), -1)).otherwise(0)
 
 
-def table_path(a: list, b: list) -> tuple[list, list, list]:
-    """One longest common subsequence with its 0-based places; backtracking steps left only where that is strictly better, otherwise up."""
+def lengths(a: list, b: list) -> np.ndarray:
+    """Lengths of the longest common subsequences of all beginnings of both, a row at a time."""
+    number = {x: k for k, x in enumerate(dict.fromkeys(b))}
+    right = np.array([number[x] for x in b], int)
     best = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a, 1):
-        for j, y in enumerate(b, 1):
-            best[i, j] = best[i - 1, j - 1] + 1 if x == y else max(best[i, j - 1], best[i - 1, j])
+        best[i, 1:] = np.maximum.accumulate(np.where(right == number.get(x, -1), best[i - 1, :-1] + 1, best[i - 1, 1:]))
+    return best
+
+
+def table_path(a: list, b: list) -> tuple[list, list, list]:
+    """One longest common subsequence with its 0-based places; backtracking steps left only where that is strictly better, otherwise up."""
+    best = lengths(a, b)
     i, j, path = len(a), len(b), []
     while best[i, j]:
         if a[i - 1] == b[j - 1]:
@@ -71,16 +78,20 @@ def unique(a: list, b: list, keep: bool = True, mode: str = "both") -> tuple[lis
 
 def peeled(a: list, b: list) -> list[tuple[str, list, list]]:
     """One result for each deepest cell of the co-occurrence matrix, in row-major order; each path takes, depth by depth, the first cell strictly below and right of its end."""
-    cells = [(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x == y]
-    depth: dict = {}
-    for i, j in reversed(cells):
-        depth[i, j] = 1 + max((d for (p, q), d in depth.items() if p > i and q > j), default=0)
-    top = max(depth.values(), default=0)
+    after = lengths(a[::-1], b[::-1])[::-1, ::-1]  # of the ends from each place on
+    places: dict = {}
+    for j, y in enumerate(b):
+        places.setdefault(y, []).append(j)
+    level: dict = {}
+    for i, x in enumerate(a):
+        for j in places.get(x, []):
+            level.setdefault(1 + int(after[i + 1, j + 1]), []).append((i, j))
+    top = max(level, default=0)
     out = []
-    for root in (c for c in cells if depth[c] == top):
+    for root in level.get(top, []):
         path = [root]
         for d in range(top - 1, 0, -1):
-            path.append(next(c for c in cells if depth[c] == d and c[0] > path[-1][0] and c[1] > path[-1][1]))
+            path.append(next(c for c in level[d] if c[0] > path[-1][0] and c[1] > path[-1][1]))
         out.append(("".join(a[i] for i, _ in path), [i for i, _ in path], [j for _, j in path]))
     return out
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from textloom.operators.tfidf import ranked
 
 START, STOP = "\t", "\n"
 
@@ -14,7 +15,7 @@ def vocabulary(seqs: DataFrame, col: str, marks: bool = False) -> DataFrame:
     rows = seqs.select(F.explode(col).alias("token"))
     if marks:
         rows = rows.unionByName(seqs.sparkSession.createDataFrame([(START,), (STOP,)], "token string"))
-    return rows.distinct().select("token", (F.row_number().over(Window.orderBy("token")) - 1).alias("idx"))
+    return ranked(rows.distinct(), F.col("token"), "idx").withColumn("idx", (F.col("idx") - 1).cast("int"))
 
 
 def lengths(seqs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -30,7 +31,7 @@ def one_hot(seqs: DataFrame, key: str, col: str, vocab: DataFrame, marks: bool =
     """n, t, k of the ones of the batch tensor; shift 1 gives the decoder's target, one step earlier and without the start."""
     arr = padded(F.col(col)) if marks else F.col(col)
     rows = seqs.select(F.col(key).alias("n"), F.posexplode(arr).alias("t", "token")).withColumn("t", F.col("t") - shift).where("t >= 0")
-    return rows.join(F.broadcast(vocab), "token").select("n", "t", F.col("idx").alias("k"))
+    return rows.join(vocab, "token").select("n", "t", F.col("idx").alias("k"))
 
 
 def exact_accuracy(rows: DataFrame, want: str, got: str) -> DataFrame:

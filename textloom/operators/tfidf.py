@@ -30,9 +30,11 @@ def weights(counts: DataFrame, min_tf: int = 3) -> DataFrame:
     """
     size = counts.agg(F.count_distinct("doc").alias("docs"))
     stats = counts.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
-    rows = counts.withColumn("total", F.sum("n").over(Window.partitionBy("doc"))).join(stats, "term").crossJoin(F.broadcast(size))
+    totals = counts.groupBy("doc").agg(F.sum("n").alias("total"))
+    rows = counts.join(stats, "term").join(totals, "doc").crossJoin(F.broadcast(size))  # size is one row
     raw = rows.withColumn("x", F.col("n") / F.col("total") * F.log2(F.col("docs") / F.col("df")))
-    by_doc = raw.withColumn("y", F.try_divide("x", F.max("x").over(Window.partitionBy("doc")))).where(F.col("tf") > min_tf)
+    most = raw.groupBy("doc").agg(F.max("x").alias("most"))
+    by_doc = raw.where(F.col("tf") > min_tf).join(most, "doc").withColumn("y", F.try_divide("x", "most"))
     top = by_doc.groupBy("term").agg(F.max("y").alias("top"))
     return by_doc.join(top, "term").select("doc", "term", F.when(F.col("df") < F.col("docs"), F.try_divide("y", "top")).alias("w"))
 
@@ -44,14 +46,19 @@ def vectors(w: DataFrame) -> DataFrame:
     return rows.select("term", F.transform("v", lambda s: s["w"]).alias("values"), F.transform("v", lambda s: s["doc"]).alias("docs"))
 
 
+def ranked(rows: DataFrame, by: Column, to: str, *then: str) -> DataFrame:
+    """rows with their place from 1 in the order of the string `by`, and of columns after it where that is equal. Only the counts of the strings' first two characters go through one task."""
+    first = rows.withColumn("__by", by).withColumn("__head", F.substring("__by", 1, 2))
+    sizes = first.groupBy("__head").count()
+    before = sizes.select("__head", (F.sum("count").over(Window.orderBy("__head")) - F.col("count")).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__head").orderBy("__by", *then))
+    out = first.withColumn("__own", own).join(before, "__head").withColumn(to, (F.col("__base") + F.col("__own")).cast("long"))
+    return out.drop("__by", "__head", "__base", "__own")
+
+
 def numbered(stats: DataFrame) -> DataFrame:
-    """Real terms with their rank in the alphabet. The numbers come from a range-sorted rank, not from one unpartitioned window."""
-    rows = stats.where(real_term(F.col("term"))).select("term")
-    first = rows.withColumn("head", F.substring("term", 1, 1))
-    sizes = first.groupBy("head").count()
-    before = sizes.select("head", (F.sum("count").over(Window.orderBy("head")) - F.col("count")).alias("base"))
-    own = F.row_number().over(Window.partitionBy("head").orderBy("term"))
-    return first.withColumn("r", own).join(before, "head").select("term", (F.col("base") + F.col("r")).cast("long").alias("rankx"))
+    """Real terms with their rank in the alphabet."""
+    return ranked(stats.where(real_term(F.col("term"))).select("term"), F.col("term"), "rankx")
 
 
 def topic_corpus(docs: DataFrame, topic: str, toks: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from textloom.functions import jaro, lcss, text
 from textloom.operators import clusters, relevance, richness, sequences, similarity, sticky, synonyms, tfidf
+from textloom.plans import words
+from textloom.session import folder
 from textloom.sources import products
 
 QUERIES: dict = {}
@@ -387,17 +389,8 @@ def c4_dense_half(spark, d):
 @query()
 def v1_word2vec(spark, d):
     """Vectors of the conversations' words, and each word's 10 nearest others of cosine 0.5 at least, filtered after the top 10."""
-    from pyspark.ml.feature import Word2Vec
-
     df = read(spark, d, "conversations")
-    model = Word2Vec(vectorSize=100, windowSize=3, minCount=5, inputCol="t", outputCol="o", seed=1, maxIter=1, numPartitions=4).fit(df.select(low_tokens(df).alias("t")))
-    from pyspark.ml.functions import vector_to_array
-
-    words = model.getVectors().select("word", vector_to_array("vector").alias("v"))
-    numbered = words.withColumn("k", F.row_number().over(Window.orderBy("word")).cast("long"))
-    near = similarity.dense_top(numbered, 10, "k", "v").where("similarity >= 0.5")
-    name = lambda a, b: numbered.select(F.col("k").alias(a), F.col("word").alias(b))
-    return near.join(name("a", "target_word"), "a").join(name("b", "sim_word"), "b").select("target_word", "sim_word", "similarity", jaro.jaro(F.col("target_word"), F.col("sim_word")).alias("jaro_sim"))
+    return similarity.nearest_words(df.select(low_tokens(df).alias("tokens")))
 
 
 def _source_counts(spark, d):
@@ -470,6 +463,20 @@ def c1_sparse_pairs(spark, d):
     return rounded(similarity.sparse_pairs(_item_weights(spark, d)).where("similarity >= 0.55"), "similarity")
 
 
+@query(
+    """WITH p AS (SELECT p_partkey, list_distinct(list_transform(range(0, 9), lambda i: (p_partkey * (i + 3)) % 17)) AS u, list_distinct(list_transform(range(0, 9), lambda i: (p_partkey * (i + 5)) % 19)) AS v FROM part),
+q AS (SELECT p_partkey, list_sort(list_distinct(list_concat(u, v))) AS w, u, v FROM p), r AS (SELECT p_partkey, list_transform(w, lambda k: CASE WHEN list_contains(u, k) THEN k / 7.0 ELSE 0.25 END) AS x, list_transform(w, lambda k: CASE WHEN list_contains(v, k) THEN (k + 1) / 5.0 ELSE 0.25 END) AS y FROM q)
+SELECT p_partkey, len(x) AS n, round(0.5 * list_dot_product(x::DOUBLE[], y::DOUBLE[]) / sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[]) * list_dot_product(y::DOUBLE[], y::DOUBLE[])) + 0.5, 6) AS similarity FROM r"""
+)
+def c2_aligned(spark, d):
+    """Two sparse vectors of each part over the union of their places, filled with 0.25."""
+    k = F.col("p_partkey")
+    places = lambda a, m: F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: (k * (i + a)) % m))
+    rows = read(spark, d, "part").select("p_partkey", places(3, 17).alias("u"), places(5, 19).alias("v"))
+    both = similarity.aligned(F.col("u"), F.transform("u", lambda x: x / 7.0), F.col("v"), F.transform("v", lambda x: (x + 1) / 5.0), 0.25)
+    return rows.select("p_partkey", both.alias("p")).select("p_partkey", F.size("p").alias("n"), F.round(similarity.aligned_cosine(F.col("p")), 6).alias("similarity"))
+
+
 @query(_pairs_sql(_ITEM_COUNTS, "0", "1") + " SELECT target_word, sim_word, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.55")
 def c5_sparse_no_decay(spark, d):
     return rounded(similarity.sparse_pairs(_item_weights(spark, d), decay=False).where("similarity >= 0.55"), "similarity")
@@ -620,6 +627,14 @@ def _word_edges(spark, d):
     return similarity.sparse_pairs(_item_weights(spark, d)).where("similarity >= 0.9 and target_word <> sim_word").select("target_word", "sim_word")
 
 
+@query()
+def e3_word_clusters(spark, d):
+    """The whole chain over the conversations, topics by their number: features from trained vectors and Jaro, rules, clusters."""
+    df = read(spark, d, "conversations")
+    docs = df.select(_turns(df).alias("doc"), (F.col("conv_id") % 9).alias("topic"), low_tokens(df).alias("tokens"))
+    return words.build(docs, f"{folder(spark)}/words", words.Settings(least_w2v=0.5, min_tf=3))
+
+
 @query()
 def k1_expand(spark, d):
     got = clusters.expand(_word_edges(spark, d))

@@ -20,9 +20,21 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, one of our own if everything runs in this process (tests), else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder of spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """df without its lineage, in folder()."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        sc.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()

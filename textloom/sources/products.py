@@ -30,8 +30,3 @@ def extract(products: DataFrame, key: str, texts: list[str], states: list[DataFr
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """Labelled pairs from tab-separated files."""
     return spark.read.csv(path, sep="\t", schema="target_word string, sim_word string, is_sim int")
-
-
-def export(df: DataFrame, path: str) -> None:
-    """One headed csv part file; arrays must be joined before."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
