@@ -22,33 +22,54 @@ def record(url: Column, body: Column) -> Column:
     return F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
+def members(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """The unpacked gzip members of a file, each a stream of whole records, and whether it is raw bytes that do not unpack."""
+    good = []
+    while data:
+        z = zlib.decompressobj(31)
+        try:
+            out = z.decompress(data) + z.flush()
+        except zlib.error:
+            break
+        good.append(out)
+        data = z.unused_data
+    if good:
+        yield b"".join(good), False
+    if data:
+        yield data, True
+
+
+def records(data: bytes) -> Iterator[bytes]:
+    """The records of an unpacked WARC stream, each with the blank lines after it; together they are all bytes of it."""
+    at = 0
+    while at < len(data):
+        head = data.find(b"\r\n\r\n", at)
+        sizes = [x.split(b":", 1)[1].strip() for x in data[at : max(head, at)].split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        if head >= 0 and sizes and sizes[0].isdigit():
+            end = min(len(data), head + 4 + int(sizes[0]) + 4)
+        else:
+            found = data.find(b"\nWARC/", at + 1)
+            end = found + 1 if found >= 0 else len(data)
+        yield data[at:end]
+        at = end
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """file, seq, pos, record (binary) of the WARC files under a path, plain or one gzip member a record; whole files are read by Spark's binary source, one file a row.
 
-    pos is the record's offset in the decompressed stream. A file that ends within a record gives the part that is there; an empty file gives no rows.
+    pos is the record's offset in the decompressed stream. Damage never ends the reading: a file that ends within a record gives the part that is there, a gzip member that does not unpack gives its raw bytes and all after them as one record,
+    and a record whose head has no usable Content-Length reaches to the next line that begins with WARC/, or to the end. An empty file gives no rows.
     """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, data in zip(frame["path"], frame["content"], strict=True):
                 data = bytes(data)
-                if data[:2] == b"\x1f\x8b":
-                    out = []
-                    while data:
-                        z = zlib.decompressobj(31)
-                        out.append(z.decompress(data))
-                        data = z.unused_data
-                    data = b"".join(out)
-                at, rows = 0, []
-                while at < len(data):
-                    head = data.find(b"\r\n\r\n", at)
-                    if head < 0:
-                        rows.append((name, len(rows), at, data[at:]))
-                        break
-                    size = next((int(x.split(b":", 1)[1]) for x in data[at:head].split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
-                    end = min(len(data), head + 4 + size + 4)
-                    rows.append((name, len(rows), at, data[at:end]))
-                    at = end
+                rows, at = [], 0
+                for stream, broken in members(data) if data[:2] == b"\x1f\x8b" else [(data, False)]:
+                    for part in [stream] if broken else records(stream):
+                        rows.append((name, len(rows), at, part))
+                        at += len(part)
                 yield pd.DataFrame(rows, columns=["file", "seq", "pos", "record"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, seq long, pos long, record binary")
