@@ -31,6 +31,12 @@ def url_keys(url: Column) -> Column:
     return F.when(h.isNotNull(), F.array_distinct(F.concat(domains, F.array(h), prefixes))).otherwise(F.array().cast("array<string>"))
 
 
+def _shape(key: Column) -> Column:
+    """Labels of a key's host and segments of its path, as one number."""
+    labels = F.size(F.split(F.substring_index(key, "/", 1), r"\."))
+    return labels * 65536 + F.size(F.split(key, "/"))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """Rows list, key, day, action (add or remove) to half-open intervals list, key, since, until (null: still active).
 
@@ -54,6 +60,9 @@ def judge(captures: DataFrame, entries: DataFrame, id: str = "page_id", url: str
     spans = spans.crossJoin(F.broadcast(end)).withColumn("from", F.greatest(F.year("since"), F.col("low"))).withColumn("to", F.least(F.coalesce(F.year(F.date_sub("until", 1)), F.col("top")), F.col("top")))
     spans = spans.where("`from` <= `to`").select("list", "key", "since", "until", F.explode(F.sequence("from", "to")).alias("year"))
     keyed = captures.select(F.col(id).alias("id"), F.col(fetched).alias("f"), F.year(fetched).alias("year"), F.explode(url_keys(F.col(url))).alias("key"))
+    # keys of a shape that no entry has, such as bare top-level domains, need not travel; the shapes are at most as many as a host has labels times a path has segments
+    shapes = spans.agg(F.collect_set(_shape(F.col("key"))).alias("shapes"))
+    keyed = keyed.crossJoin(F.broadcast(shapes)).where(F.array_contains("shapes", _shape(F.col("key")))).drop("shapes")
     hits = keyed.join(spans, ["key", "year"]).where("f >= since and (until is null or f < until)")
     found = hits.groupBy("id").agg(F.count_distinct("list", "key").alias("n"), F.array_sort(F.collect_set("list")).alias("l"))
     every = captures.select(F.col(id).alias("id")).distinct()
@@ -95,9 +104,9 @@ WITH parsed AS (
   FROM pages),
 labels AS (SELECT *, string_split(host, '.') AS lab FROM parsed WHERE host IS NOT NULL),
 keyed AS (
-  SELECT page_id, f, array_to_string(lab[len(lab) - k + 1:], '.') AS key FROM labels, range(1, 9) r(k) WHERE k <= len(lab)
+  SELECT page_id, f, array_to_string(lab[len(lab) - k + 1:], '.') AS key FROM (SELECT *, unnest(range(1, len(lab) + 1)) AS k FROM labels)
   UNION SELECT page_id, f, host FROM labels
-  UNION SELECT page_id, f, host || '/' || array_to_string(parts[1:k], '/') FROM labels, range(1, 4) r(k) WHERE k <= len(parts)),
+  UNION SELECT page_id, f, host || '/' || array_to_string(parts[1:k], '/') FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM labels)),
 turns(list, action, place, one_of) AS (VALUES """
     + ", ".join(map(str, _TURNS))
     + r"""),
