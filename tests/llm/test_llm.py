@@ -98,6 +98,52 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_duplicates_as_all_pairs(spark):
+    """Every pair of weighted Jaccard similarity >= 0.8 of the given documents and of a hot group of near copies in one class; classes are what such pairs join."""
+    rng = random.Random(12)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect() if len(r["text"] or "") < 3000]
+    root = prose(rng, 150).split()
+    for k in range(150):  # a hot group around one text; most of its pairs are below the bound
+        rows.append((10_000 + k, " ".join(w if rng.random() > rng.choice((0.005, 0.02, 0.05)) else f"x{rng.randrange(10**6)}" for w in root)))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, rows).repartition(5)).collect()}
+    bags, df = {}, {}
+    for i, t in rows:
+        w = "".join(c if c.isalnum() else " " for c in t.lower()).split()
+        bag = {}
+        for k in range(max(1, len(w) - 4) if w else 0):
+            bag[tuple(w[k : k + 5])] = bag.get(tuple(w[k : k + 5]), 0) + 1
+        bags[i] = bag
+        for g in bag:
+            df[g] = df.get(g, 0) + 1
+    n = sum(bool(b) for b in bags.values())
+    weight = {g: max(1, 1 + np.log((n + 1) / (c + 1)) / np.log(n + 1)) for g, c in df.items()}
+    total = {i: sum(v * weight[g] for g, v in b.items()) for i, b in bags.items()}
+    near, up, ids = [], {i: i for i, _ in rows}, [i for i, _ in rows if bags[i]]
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            low = sum(min(v, bags[j][g]) * weight[g] for g, v in bags[i].items() if g in bags[j])
+            if low / (total[i] + total[j] - low) >= 0.8:
+                near.append((i, j))
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    together = sum(got[i] == got[j] for i, j in near) / len(near)
+    assert len(near) > 300 and together >= 0.98 and all(find(i) == find(c) for i, c in got.items())
+
+
+def test_keys_with_several_texts(spark):
+    rng = random.Random(13)
+    one, two = prose(rng, 80), prose(rng, 80)
+    rows = [(1, one), (2, one), (3, one), (3, two), (4, two), (5, None), (5, None)]
+    first, again = ({r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, rows).repartition(n)).collect()} for n in (1, 7))
+    assert first == again and len(first) == 5 and first[2] == 1 and first[4] in (3, 4) and first[3] in (1, 3) and first[5] == 5
+
+
 def test_verified_similarity(spark):
     rng = random.Random(3)
     a = prose(rng, 120)
@@ -351,6 +397,24 @@ def test_fixity(spark, tmp_path):
     assert [(r["seq"], r["pos"]) for r in fixity.read_warc(spark, str(tmp_path)).orderBy("seq").collect()] == [(k, k * len(one)) for k in range(3)]
 
 
+def test_damaged_warc(spark, tmp_path):
+    import gzip
+
+    one = b"WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    bad = b"WARC/1.1\r\nContent-Length: -9\r\n\r\nhello\r\n\r\n"
+    odd = b"WARC/1.1\r\nContent-Length: five\r\n\r\nhello\r\n\r\n"
+    files = {"plain": one + bad + odd + one, "zip": gzip.compress(one) + gzip.compress(one + one), "broken": gzip.compress(one) + b"\x1f\x8bnonsense", "cut": one + one[:20], "none": b"", "noise": b"\x00\xff" * 9}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {}
+    for r in fixity.read_warc(spark, str(tmp_path)).orderBy("file", "seq").collect():
+        got.setdefault(r["file"].rsplit("/", 1)[1], []).append((r["pos"], bytes(r["record"])))
+    assert [len(got.get(k, [])) for k in files] == [4, 3, 2, 2, 0, 1]
+    for name, rows in got.items():
+        assert [p for p, _ in rows] == [sum(len(x) for _, x in rows[:k]) for k in range(len(rows))], name
+    assert b"".join(x for _, x in got["plain"]) == files["plain"] and got["broken"][1][1] == b"\x1f\x8bnonsense"
+
+
 def test_url_filter(spark):
     entries = spark.createDataFrame([("ads", "example.com", "2020-01-01", "add"), ("ads", "example.com", "2020-06-01", "remove"), ("bad", "a.example.com/x", "2020-03-01", "add"), ("bad", None, "2020-01-01", "add"), ("ads", "example.com", "2020-02-01", "add")], "list string, key string, day string, action string").withColumn("day", F.to_date("day"))
     rows = [(1, "https://a.example.com/x/y", "2020-04-01"), (2, "http://u@EXAMPLE.com:80", "2020-06-01"), (3, "http://b.example.com.", "2020-05-31"), (4, None, "2020-04-01"), (5, "junk", "2020-04-01"), (6, "http://example.com", None), (7, "http://myexample.com/", "2020-04-01"), (8, "http://a.example.com/x", "2019-12-31"), (None, "http://example.com/", "2020-02-02")]
@@ -448,3 +512,48 @@ def test_pipeline(spark):
     classes = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
     leaked = {r["doc_id"] for r in decontaminate.leaks(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
     assert kept <= {i for i, c in classes.items() if i == c} and len(kept) >= len({i for i, c in classes.items() if i == c} - leaked)
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    """Nulls, empty and repeated rows, extra columns named as results, and an empty table through every stage; the columns of documents come out again."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = docs.limit(60).unionByName(docs.limit(5)).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(3).withColumn("text", F.lit(""))).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    for name in ("ids", "score", "lang_pred", "n_bytes", "class_id", "cosine", "__text", "id", "t", "rejected"):
+        odd = odd.withColumn(name, F.lit("own"))
+    odd.write.parquet(f"{tmp_path}/odd")
+    for table in (spark.read.parquet(f"{tmp_path}/odd"), spark.read.parquet(f"{tmp_path}/odd").limit(0)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            got = stage(spark, table, SMALL)
+            if k + 1 < len(corpus_pipeline.STAGES):
+                assert got.columns == table.columns, name
+                assert got.where("score <> 'own' or n_bytes <> 'own' or ids <> 'own'").count() == 0, name
+            n = got.count()
+            assert n <= table.count() and (n > 0) == (table.count() > 0), name
+
+
+def test_long_text_through_shingles_and_letters(spark):
+    """Texts of many pieces give what they give in one."""
+    rng = random.Random(15)
+    text = prose(rng, 3000)
+    raw, offs = base.flat(pa.array([text]))
+    s, e, _ = base.words(raw, offs)
+    whole = base.run_hashes(raw, s, e)
+    keep = base.HASHED
+    try:
+        base.HASHED = 64
+        base._powers.cache_clear()
+        assert np.array_equal(base.run_hashes(raw, s, e), whole)
+    finally:
+        base.HASHED = keep
+        base._powers.cache_clear()
+    m = langid.fit(*langid.count([text[:2000]]), "x")
+    h, n = langid.entropies(m, [text, "b " + text])
+    piece = langid.PIECE
+    try:
+        langid.PIECE = 100
+        h2, n2 = langid.entropies(m, [text, "b " + text])
+    finally:
+        langid.PIECE = piece
+    assert np.array_equal(n, n2) and np.allclose(h, h2, rtol=1e-5)
