@@ -482,14 +482,14 @@ def c5_sparse_no_decay(spark, d):
     return rounded(similarity.sparse_pairs(_item_weights(spark, d), decay=False).where("similarity >= 0.55"), "similarity")
 
 
-#: The SQL of the flagship query only holds terms that make up more than this share of all tokens; the query itself holds all with tf > 3.
-SHARE = 2e-4
-
-
 @query(
-    _pairs_sql(_COUNTS, f"(SELECT {SHARE} * sum(n) FROM c)", _DECAY)
-    + """, r AS (SELECT *, row_number() OVER (PARTITION BY target_word ORDER BY round(similarity, 6) DESC, sim_word) AS rank FROM sim WHERE similarity >= 0.55)
-SELECT target_word, sim_word, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 50"""
+    f"""WITH {_COUNTS}, {_weights_sql("3")}, v AS (SELECT * FROM w WHERE w <> 0), ds AS (SELECT doc, row_number() OVER (ORDER BY doc) AS k, count(*) OVER () AS m FROM (SELECT DISTINCT doc FROM v)),
+l AS (SELECT term, max(m) AS m, sqrt(sum(w * w)) AS norm, count(*) AS nnz, map(list(k), list(w)) AS mp FROM v JOIN ds USING (doc) GROUP BY term),
+x AS (SELECT term, nnz, [coalesce(mp[k], 0) / norm FOR k IN range(1, m + 1)]::DOUBLE[] AS u, [CASE WHEN mp[k] IS NULL THEN 0 ELSE 1 END FOR k IN range(1, m + 1)]::DOUBLE[] AS i FROM l),
+p AS (SELECT a.term AS t, b.term AS s, list_dot_product(a.u, b.u) * 0.5 + 0.5 AS h, list_dot_product(a.i, b.i) / greatest(a.nnz, b.nnz) AS share FROM x a, x b WHERE list_dot_product(a.i, b.i) > 0),
+q AS (SELECT t, s, h * CASE WHEN share < 0.5 THEN share / 0.5 ELSE 1 END AS y FROM p),
+r AS (SELECT t, unnest(min({{'y': -round(y, 6), 's': s}}, 50)) AS z, unnest(range(1, 51)) AS rank FROM q WHERE y >= 0.55 GROUP BY t)
+SELECT t AS target_word, z.s AS sim_word, -z.y AS similarity, rank FROM r WHERE z IS NOT NULL"""
 )
 def c3_sparse_topk(spark, d):
     """Flagship: terms of the documents' sources that occur more than three times, the 50 most similar terms of each."""
