@@ -374,8 +374,19 @@ def test_decontamination(spark):
 
 
 def test_common_subsequence():
-    assert decontaminate.common_subsequence(np.array(list("abbca")), np.array(list("baca"))) == 3
-    assert decontaminate.common_subsequence(np.array([]), np.array([1])) == 0
+    def plain(a, b):
+        best = [0] * (len(b) + 1)
+        for x in a:
+            now = [0]
+            for j, y in enumerate(b):
+                now.append(best[j] + 1 if x == y else max(now[j], best[j + 1]))
+            best = now
+        return best[-1]
+
+    rng = random.Random(16)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(12))] for _ in range(2))
+        assert decontaminate.common_subsequence(decontaminate.masks(a), len(a), b) == plain(a, b)
 
 
 # ---- 6, 7 -----------------------------------------------------------------------------------------------------------
