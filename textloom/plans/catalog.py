@@ -635,7 +635,32 @@ def e3_word_clusters(spark, d):
     return words.build(docs, f"{folder(spark)}/words", words.Settings(least_w2v=0.5, min_tf=3))
 
 
-@query()
+def _expand_sql(rounds: int = 7) -> str:
+    """The rounds one after the other; cur{r} has the members, st{r} the state of the seeds that still grow."""
+    parts = [
+        _pairs_sql(_ITEM_COUNTS, "0", _DECAY),
+        "e AS MATERIALIZED (SELECT DISTINCT target_word AS a, sim_word AS b FROM sim WHERE similarity >= 0.9 AND target_word <> sim_word)",
+        "deg AS (SELECT a, count(*) AS n FROM e GROUP BY a)",
+        "cur0 AS (SELECT a AS seed, a AS w FROM deg)",
+        "st0 AS (SELECT a AS seed, 99 AS last, 0 AS depth, 0 AS eq FROM deg)",
+    ]
+    for r in range(rounds):
+        parts += [
+            f"found{r} AS MATERIALIZED (SELECT DISTINCT c.seed, e.b AS w FROM cur{r} c JOIN e ON e.a = c.w WHERE NOT EXISTS (SELECT 1 FROM cur{r} x WHERE x.seed = c.seed AND x.w = e.b))",
+            f"n{r} AS (SELECT seed, count(*) AS conv FROM found{r} GROUP BY seed)",
+            f"step{r} AS MATERIALIZED (SELECT *, live AND conv <= last AND eq2 < 2 AS grow FROM (SELECT seed, last, depth, coalesce(conv, 0) AS conv, eq + (coalesce(conv, 0) = last)::INT AS eq2, last > 0 AND depth <= 5 AND eq < 2 AS live FROM st{r} LEFT JOIN n{r} USING (seed)))",
+            f"src{r} AS (SELECT DISTINCT c.seed, c.w FROM step{r} JOIN cur{r} c USING (seed) JOIN e ON e.a = c.w JOIN found{r} f ON f.seed = c.seed AND f.w = e.b WHERE NOT grow)",
+            f"side{r} AS (SELECT DISTINCT c.seed, c.w FROM step{r} JOIN cur{r} c USING (seed) JOIN e ON e.a = c.w JOIN src{r} x ON x.seed = c.seed AND x.w = e.b WHERE NOT grow AND NOT EXISTS (SELECT 1 FROM src{r} y WHERE y.seed = c.seed AND y.w = c.w))",
+            f"lone{r} AS (SELECT o.seed, o.w FROM (SELECT seed, min(w) AS w FROM side{r} GROUP BY seed HAVING count(*) = 1) o JOIN (SELECT seed, count(*) AS k FROM src{r} GROUP BY seed) k ON k.seed = o.seed JOIN deg ON deg.a = o.w WHERE k > 1 AND k > n - k)",
+            f"end{r} AS (SELECT seed, list(w ORDER BY w) FILTER (WHERE NOT (live AND gone)) AS members FROM (SELECT s.seed, s.live, c.w, EXISTS (SELECT 1 FROM src{r} x WHERE x.seed = c.seed AND x.w = c.w) OR EXISTS (SELECT 1 FROM lone{r} y WHERE y.seed = c.seed AND y.w = c.w) AS gone FROM step{r} s JOIN cur{r} c USING (seed) WHERE NOT s.grow) GROUP BY seed)",
+            f"cur{r + 1} AS MATERIALIZED (SELECT c.seed, c.w FROM cur{r} c JOIN step{r} USING (seed) WHERE grow UNION SELECT f.seed, f.w FROM found{r} f JOIN step{r} USING (seed) WHERE grow)",
+            f"st{r + 1} AS (SELECT seed, conv AS last, depth + 1 AS depth, eq2 AS eq FROM step{r} WHERE grow)",
+        ]
+    every = " UNION ALL ".join(f"SELECT * FROM end{r}" for r in range(rounds))
+    return ", ".join(parts) + f" SELECT seed, coalesce(array_to_string(members, ','), '') AS members, coalesce(len(members), 0) AS size FROM ({every})"
+
+
+@query(_expand_sql())
 def k1_expand(spark, d):
     got = clusters.expand(_word_edges(spark, d))
     return got.select("seed", F.array_join("members", ",").alias("members"), "size")
