@@ -657,16 +657,22 @@ def _expand_sql(rounds: int = 7) -> str:
             f"st{r + 1} AS (SELECT seed, conv AS last, depth + 1 AS depth, eq2 AS eq FROM step{r} WHERE grow)",
         ]
     every = " UNION ALL ".join(f"SELECT * FROM end{r}" for r in range(rounds))
-    return ", ".join(parts) + f" SELECT seed, coalesce(array_to_string(members, ','), '') AS members, coalesce(len(members), 0) AS size FROM ({every})"
+    return ", ".join(parts) + f", ended AS (SELECT seed, coalesce(members, []) AS members FROM ({every}))"
 
 
-@query(_expand_sql())
+@query(_expand_sql() + " SELECT seed, array_to_string(members, ',') AS members, len(members) AS size FROM ended")
 def k1_expand(spark, d):
     got = clusters.expand(_word_edges(spark, d))
     return got.select("seed", F.array_join("members", ",").alias("members"), "size")
 
 
-@query()
+@query(
+    _expand_sql().replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, turns AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n DESC, coalesce(tf, 0) DESC, seed) AS i, seed, members FROM ended JOIN deg ON deg.a = seed LEFT JOIN st ON st.term = seed),
+walk AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS seed, false AS fresh, []::VARCHAR[] AS covered UNION ALL
+  SELECT t.i, t.seed, len(members) > 0 AND NOT list_contains(covered, t.seed), CASE WHEN len(members) > 0 AND NOT list_contains(covered, t.seed) THEN list_concat(covered, members) ELSE covered END FROM walk w JOIN turns t ON t.i = w.i + 1)
+SELECT seed AS center_word, array_to_string(members, ',') AS members FROM walk JOIN turns USING (i, seed) WHERE fresh"""
+)
 def k2_cover(spark, d):
     edges = _word_edges(spark, d)
     stats = tfidf.term_stats(_item_counts(spark, d), 0).select(F.col("term").alias("word"), F.col("tf").alias("tf_min"))
