@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.base import bounded_batches, column, durable, flat, free, mix, prefix_hash, range_hash, release, same_bytes, slices, trimmed
+from textloom.llm.base import bounded_batches, column, durable, flat, free, mix, prefix_hash, range_hash, same_bytes, slices, trimmed
 from textloom.llm.suffixes import permuted_prefixes, suffix_array
 
 #: Bytes of a string that counts as repeated, and of the anchors that bring equal strings together.

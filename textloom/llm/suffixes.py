@@ -153,7 +153,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, stop: int) -> np.ndarray:
     """For each place in text order, the symbols up to the next one of at most `stop` that its suffix shares with the one before it in the array.
 
-    A place whose predecessor's predecessor ends where its own begins shares one symbol less than the place before it; only the others are compared, all at once, eight symbols a step.
+    Where the neighbours in the array of two places in a row are in a row too and both agree on the first symbol, the second place shares one symbol less than the first; only the others are compared, all at once, eight symbols a step.
     """
     n = len(t)
     phi = np.full(n, -1, np.int64)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.base import bounded_batches, column, flat, free, run_hashes, same_bytes, slices, trimmed
+from textloom.llm.base import bounded_batches, flat, free, run_hashes, same_bytes, slices, trimmed
 
 #: Bytes of text that are split and counted together; a longer text is cut at safe places.
 BATCH_BYTES = 1 << 20
