@@ -254,9 +254,11 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [1 << 20, 300])
-def test_repeats(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "sample", "least"), [(1 << 20, 16, 64), (300, 16, 64), (300, 1, 1), (1 << 20, 1, 1)])
+def test_repeats(spark, hot, sample, least, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "SAMPLE", sample)  # with 1 and 1 the anchors of the passages are common ones
+    monkeypatch.setattr(repeats, "LEAST", least)
     rng = random.Random(4)
     common = "".join(rng.choice("ab é") for _ in range(300))
     rows = [r for r in ODD if r[0] is not None] + [(50 + k, prose(rng, 30) + common[:150] + prose(rng, 30)) for k in range(20)]

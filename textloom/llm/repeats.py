@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.base import bounded_batches, column, durable, flat, free, mix, prefix_hash, range_hash, same_bytes, slices, trimmed
+from textloom.llm.base import bounded_batches, column, durable, flat, free, mix, prefix_hash, range_hash, release, same_bytes, slices, trimmed
 from textloom.llm.suffixes import permuted_prefixes, suffix_array
 
 #: Bytes of a string that counts as repeated, and of the anchors that bring equal strings together.
@@ -19,6 +19,8 @@ LENGTH, ANCHOR = 100, 32
 CHUNK, SHARD = 1 << 18, 1 << 19
 #: Bytes of segments of one key; those of a key with more are parted by what stands next to their core.
 HOT = 1 << 20
+#: An anchor with more than one in so many segments of every SAMPLE-th document, and LEAST of them, is common: its segments are dealt by their contents, so that no task gets them all. At most SHARE anchors are.
+SAMPLE, SHARE, LEAST = 16, 2000, 64
 #: Low bits of an anchor's key that hold its place.
 PLACE = np.uint64((1 << 20) - 1)
 
@@ -120,7 +122,8 @@ def merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return doc[at], start[at], np.maximum.reduceat(end, at)
 
 
-#: what: for a segment its size and, from bit 10, the place of its core; for covered bytes minus their number.
+#: what: for a segment its size, from bit 10 the place of its core, and COMMON where the anchor is; for covered bytes minus their number.
+COMMON = 1 << 20
 _ROWS = "mh long, a long, b long, doc long, start int, what int"
 
 
@@ -148,7 +151,24 @@ def _windows(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, np.n
         at = to
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw, offs = flat(column(batch, "text"))
+        for _, byte, own in _windows(raw, offs):
+            mh, n = np.unique(segments(raw[byte : byte + own[-1]], own)[0], return_counts=True)
+            yield _batch("mh long, n long", mh.view(np.int64), n.astype(np.int64))
+
+
+def common_anchors(src: DataFrame) -> np.ndarray:
+    """Anchors of so many segments that these should not meet in one task, sorted; only where rows go depends on them."""
+    counts = durable(src.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0).mapInArrow(lambda it: trimmed(_anchors(it)), "mh long, n long").groupBy("mh").agg(F.sum("n").alias("n")).where(F.col("n") > 1), "anchors")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    found = counts.where(F.col("n") > max(LEAST, total / SHARE)).select("mh").collect()
+    release(counts)
+    return np.sort(np.array([r["mh"] for r in found], np.int64))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Segments; of equal ones in a batch the first only, the others at once as covered."""
     for batch in batches:
         raw, offs = flat(column(batch, "text"))
@@ -165,13 +185,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = _equal_groups(raw, mh ^ mix(a), doc, start, begin, size)
         f = np.flatnonzero(lead == np.arange(len(lead)))
         f = f[np.argsort(mh[f])]
-        yield _batch(_ROWS, mh[f].view(np.int64), a[f].view(np.int64), b[f].view(np.int64), doc[f], start[f], size[f] | (core[f] << 10))
+        key = mh[f].view(np.int64)
+        mark = np.isin(key, common) * COMMON
+        yield _batch(_ROWS, key, a[f].view(np.int64), b[f].view(np.int64), doc[f], start[f], size[f] | (core[f] << 10) | mark)
         again = (doc != doc[lead]) | (start != start[lead])
         yield _covered(doc[again], start[again], (start + size)[again])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, content and place: all but the first of equal segments as covered, firsts whose anchor has other contents too as segments; the rest are done. State between batches is two rows."""
+    """Rows sorted by anchor, content and place: all but the first of equal segments as covered, firsts whose anchor has other contents too, or is common, as segments; the rest are done. State between batches is two rows."""
     held = None  # the first segment of the current anchor while it has no company
     prev = None  # the current content's anchor, hashes, document, start
     for batch in batches:
@@ -196,10 +218,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = _first_of(m)
             if prev is not None and prev[0] == m[0]:
                 new[0] = False
-            out = f[~new | np.r_[~new[1:], False]]
+            out = f[~new | np.r_[~new[1:], False] | (what[f] >= COMMON)]
             if not new[0] and held is not None:
                 yield _batch(_ROWS, *(np.array([v]) for v in held))
-            held = tuple(x[f[-1]] for x in (mh, a, b, doc, start, what)) if new[-1] else None
+            held = tuple(x[f[-1]] for x in (mh, a, b, doc, start, what)) if new[-1] and what[f[-1]] < COMMON else None
             if len(out):
                 yield _batch(_ROWS, *(x[out] for x in (mh, a, b, doc, start, what)))
         prev = (mh[-1], a[-1], b[-1], ld[-1] if not first[-1] else doc[-1], ls[-1] if not first[-1] else start[-1])
@@ -229,7 +251,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, begin, size = column(part, "doc").to_numpy()[of], offs[of] + start, what & 1023
             for j in range(0, len(mh), 8192):
                 x = slice(j, j + 8192)
-                yield _batch(_SEGS, mh[x], doc[x], start[x], what[x] >> 10, np.full(len(mh[x]), ANCHOR), _lists(raw, begin[x], begin[x] + size[x]))
+                yield _batch(_SEGS, mh[x], doc[x], start[x], (what[x] >> 10) & 1023, np.full(len(mh[x]), ANCHOR), _lists(raw, begin[x], begin[x] + size[x]))
 
 
 def _part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,14 +375,16 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, start, size of byte intervals (may overlap) that together are all bytes covered by a LENGTH-byte string which also starts earlier.
 
-    1. Texts are cut into segments of strings with a common anchor; of equal segments in a batch one goes on (bytes are compared). 2. Shuffled by anchor, all but the first of equal segments (128 bits of two hashes of all bytes) are covered at once,
+    1. Texts are cut into segments of strings with a common anchor; of equal segments in a batch one goes on (bytes are compared). 2. Shuffled by anchor (those of a common anchor by their contents, as they surely have company), all but the first of equal segments (128 bits of two hashes of all bytes) are covered at once,
     and firsts that are alone with their anchor are done. 3. The other firsts are fetched from their texts. Segments of a key with more than HOT bytes are parted in two by what stands next to their common core, again and again, until their keys are small:
     the core grows to LENGTH bytes in seven steps at most, where all strings of a key are equal. 4. Each shard of whole keys is sorted into a suffix array, where strings with a common prefix of LENGTH meet.
     """
     bounded_batches(docs.sparkSession)
     src = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(f"doc is not null and octet_length(text) >= {LENGTH}")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = src.mapInArrow(lambda it: trimmed(_cut(it)), _ROWS).repartition(n, "mh").sortWithinPartitions("mh", "a", "b", "doc", "start").mapInArrow(lambda it: trimmed(_meet(it)), _ROWS)
+    common = common_anchors(src)
+    goal = F.when(F.col("what").bitwiseAND(COMMON) == 0, F.col("mh")).otherwise(F.xxhash64("mh", "a"))
+    met = src.mapInArrow(lambda it: trimmed(_cut(it, common)), _ROWS).repartition(n, goal).sortWithinPartitions("mh", "a", "b", "doc", "start").mapInArrow(lambda it: trimmed(_meet(it)), _ROWS)
     met = durable(met.select(F.when(F.col("what") > 0, F.col("mh")).alias("mh"), "doc", "start", "what"), "met")
     out = met.where("what < 0").select("doc", "start", (-F.col("what")).alias("size"))
     want = met.where("what > 0")
