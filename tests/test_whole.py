@@ -1,11 +1,7 @@
-"""Operators do the whole job: no terms, words, prefixes or windows are left out."""
-
-import random
+"""The flagship does the whole job: no terms are left out."""
 
 from conftest import compare
-from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, urlfilter
 from textloom.plans import catalog
 
 
@@ -14,47 +10,3 @@ def test_flagship_holds_all_terms(spark):
     sql = f"""{catalog._pairs_sql(catalog._COUNTS, "3", catalog._DECAY)}, r AS (SELECT *, row_number() OVER (PARTITION BY target_word ORDER BY round(similarity, 6) DESC, sim_word) AS rank FROM sim WHERE similarity >= 0.55)
 SELECT target_word, sim_word, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 50"""
     compare(spark, "c3_sparse_topk", catalog.c3_sparse_topk, sql)
-
-
-def corpus(seed, common, rare):
-    rng = random.Random(seed)
-    made = list({"".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(common + rare)})
-    return rng, lambda n, share: [rng.choice(made[:common]) if rng.random() < share else rng.choice(made[common:]) for _ in range(n)]
-
-
-def leaked(spark, docs, items):
-    got = decontaminate.leaks(spark.createDataFrame([(k, " ".join(t)) for k, t in docs], "doc_id long, text string").repartition(4), spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string"))
-    return {(r["doc_id"], r["item_id"]) for r in got.collect()}
-
-
-def test_short_items_between_known_words(spark):
-    """Every word of the documents is in the benchmark, so that the text around a short item is as near to other items."""
-    rng, draw = corpus(1, 1, 3000)
-    items = [(k, draw(rng.randint(5, 15), 0)) for k in range(1500)]
-    docs = [(k, draw(rng.randint(40, 90), 0) + items[k][1] + draw(50, 0)) for k in range(300)] + [(9000 + k, draw(120, 0)) for k in range(100)]
-    got = leaked(spark, docs, items)
-    assert not {(k, k) for k in range(300)} - got
-    assert sum(d >= 9000 for d, _ in got) <= 5  # of 150,000 pairs, by chance
-
-
-def test_hot_paraphrases(spark):
-    """A third of all rows holds an item of which another six words are replaced each time."""
-    rng, draw = corpus(2, 50, 4000)
-    item, fixed = draw(30, 0.2), set(range(1, 30, 5))
-    docs = [(k, draw(40, 0.5) + [draw(1, 0)[0] if i in fixed else w for i, w in enumerate(item)] + draw(30, 0.5)) for k in range(100)] + [(9000 + k, draw(100, 0.5)) for k in range(200)]
-    assert leaked(spark, docs, [(1, item), (2, draw(30, 0.5))]) == {(k, 1) for k in range(100)}
-
-
-def test_long_item_of_common_words(spark):
-    rng, draw = corpus(3, 100, 6000)
-    item = draw(2000, 0.8)
-    docs = [(1, draw(500, 0.5) + item + draw(500, 0.5))] + [(9000 + k, draw(400, 0.8)) for k in range(100)]
-    assert leaked(spark, docs, [(1, item), (2, draw(30, 0.5))]) == {(1, 1)}
-
-
-def test_url_entries_at_any_depth(spark):
-    parent = ".".join("abcdefghij") + ".example.com"
-    entries = spark.createDataFrame([("bad", "host.org/a/b/c/d", "2020-01-01", "add"), ("bad", parent, "2020-01-01", "add")], "list string, key string, day string, action string").withColumn("day", F.to_date("day"))
-    rows = [(1, "https://host.org/a/b/c/d/e.html?q=1"), (2, f"https://www.{parent}/"), (3, "https://host.org/a/b/c/dd"), (4, "https://example.com/")]
-    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("fetched", F.to_date(F.lit("2021-01-01")))
-    assert {r["page_id"]: r["n_active"] for r in urlfilter.judge(pages, entries).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
