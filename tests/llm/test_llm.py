@@ -459,6 +459,26 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_ask_near_shards(spark, monkeypatch):
+    """With many shards a vector asks a few of them, and all links come back: of pairs just above the bound, of a hot group in several shards, and of copies."""
+    monkeypatch.setattr(embeddings, "SHARD", 64)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1000:1400] = embeddings._turned(x[:400], 0.951, 1)
+    x[1500:1700] = x[1500] + rng.standard_normal((200, 64)) * 0.02
+    x[1900:1920] = x[1900]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    routed = embeddings._routed(df.selectExpr("vec_id as rep", "1L as copies", "embedding as v"), 64, 3000, 0.95)
+    shards, asked = routed.selectExpr("max(shard) + 1", "sum(size(asks))").collect()[0]
+    assert shards >= 46 and asked < 3000 * shards / 5
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    true = (u @ u.T >= 0.95).sum(axis=1) - 1
+    got = dict(embeddings.near_duplicates(df).select("vec_id", "n_links").collect())
+    found = np.array([got[i] for i in range(3000)])
+    assert (found <= true).all() and found.sum() >= 0.995 * true.sum() and found[1000:1400].sum() >= 0.98 * true[1000:1400].sum()
+
+
 # ---- 10 -------------------------------------------------------------------------------------------------------------
 
 
