@@ -1,10 +1,13 @@
-"""Decontamination and URL lists do the whole job: no words, prefixes or windows are left out."""
+"""Near copies, decontamination and URL lists do the whole job: no pairs, words, prefixes or windows are left out."""
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, urlfilter
+from textloom.llm import decontaminate, neardup, urlfilter
 
 
 def corpus(seed, common, rare):
@@ -49,3 +52,51 @@ def test_url_entries_at_any_depth(spark):
     rows = [(1, "https://host.org/a/b/c/d/e.html?q=1"), (2, f"https://www.{parent}/"), (3, "https://host.org/a/b/c/dd"), (4, "https://example.com/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("fetched", F.to_date(F.lit("2021-01-01")))
     assert {r["page_id"]: r["n_active"] for r in urlfilter.judge(pages, entries).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_hot_group_loses_no_link(spark, monkeypatch):
+    """One cell holds all documents, each near one other and below the bound to the rest: every similar pair is in one class."""
+    sign = neardup.signatures
+    monkeypatch.setattr(neardup, "signatures", lambda *a: sign(*a).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    rng, draw = corpus(5, 2000, 10)
+    root, docs = draw(200, 1), []
+
+    def edited(words, n):
+        at = set(rng.sample(range(5, 195), n))
+        return [f"x{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(words)]
+
+    for k in range(0, 400, 2):
+        one = edited(root, 5)
+        docs += [(k, " ".join(one)), (k + 1, " ".join(edited(one, 2)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = dict(neardup.near_duplicates(df).collect())
+    weights = neardup.idf_weights(df)
+    of, ids, n = neardup.weighted(*neardup.flat(pa.array([t for _, t in docs])))
+    assert n.max() == 1
+    known, at = np.unique(ids, return_inverse=True)
+    there = np.zeros((len(docs), len(known)))
+    there[of, at] = 1
+    w = weights[(known & np.uint64((1 << neardup.DF_BITS) - 1)).astype(int)].astype(float)
+    low, total = (there * w) @ there.T, there @ w
+    x, y = np.nonzero(np.triu(low / (total[:, None] + total[None] - low) >= neardup.SIMILAR, 1))
+    assert len(x) > 100 and len(set(got.values())) > 100
+    assert sum(got[i] != got[j] for i, j in zip(x.tolist(), y.tolist(), strict=True)) == 0
+
+
+@pytest.mark.parametrize("scarce", [0, 1 / 128, 1])
+def test_block_similarities_as_plain_loops(monkeypatch, scarce):
+    monkeypatch.setattr(neardup, "SCARCE", scarce)
+    monkeypatch.setattr(neardup, "HELD", 1000)
+    rng, draw = corpus(6, 60, 1)
+    root = draw(100, 1)
+    texts = [" ".join(w if rng.random() > 0.04 else f"x{rng.randrange(99)}" for w in root) for _ in range(40)] + ["a " * 12, "a " * 8, "", "z"]
+    idf = (1 + np.random.default_rng(0).random(1 << neardup.DF_BITS)).astype(np.float32)
+    bags = [{} for _ in texts]
+    for o, i, c in zip(*neardup.weighted(*neardup.flat(pa.array(texts))), strict=True):
+        bags[o][int(i)] = c * float(idf[int(i) & ((1 << neardup.DF_BITS) - 1)])
+    left, right = np.arange(20), np.arange(15, len(texts))
+    got = neardup.shared_weights(pa.array(texts), left, right, idf)
+    for x, i in enumerate(left):
+        for y, j in enumerate(right):
+            low = sum(min(v, bags[j].get(g, 0)) for g, v in bags[i].items())
+            assert got[x, y] == pytest.approx(low / max(sum(bags[i].values()) + sum(bags[j].values()) - low, 1e-12))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import itertools
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +20,12 @@ DF_BITS, BLOCKS = 20, 64
 #: Pairs whose samples agree on less than this share are not worth the exact comparison: over four standard deviations below SIMILAR.
 LEAST_ESTIMATE = 0.55
 CHUNK, DOCS = 1 << 18, 4096
-#: All pairs of different components of a cell are compared while they are at most SMALL (half as many more each level) for each member; members of other cells are dealt to sub-cells that ask for FURTHER more equal samples.
-SMALL, FURTHER = 8, 4
+#: Pairs of different components of a cell are compared one by one while they are at most SMALL for each member; other cells in blocks of about so many members and bytes of text, all pairs of two blocks at once.
+SMALL, BLOCK, BLOCK_BYTES = 8, 1024, 4 << 20
+#: Shingles of two blocks that are added up pair by pair (of less than this share of all pairs), and values held at once.
+SCARCE, HELD = 1 / 128, 1 << 21
 #: Pairs of a file of compared pairs, and the least number of tasks that compare texts.
 PAIRS, CORES = 1 << 13, 16
-#: For each band the order in which sub-cells take up the samples of the other bands.
-LATER = [random.Random(b).sample([k for k in range(BANDS * ROWS) if k // ROWS != b], BANDS * ROWS - ROWS) for b in range(BANDS)]
 _ID = (1 << 52) - 1
 
 
@@ -167,10 +165,79 @@ def _central(members: DataFrame, *more: str) -> DataFrame:
     return best.select("cell", (-F.col("x.r")).alias("p"), *(F.col(f"x.{c}").alias(f"p{c}") for c in more))
 
 
-def _split(members: DataFrame, samples: DataFrame, level: int) -> DataFrame:
-    """The members of large cells in sub-cells, keyed by the cell and the band's next FURTHER samples."""
-    at = lambda k: F.element_at("samples", F.element_at(F.array(*(F.lit(LATER[b][k] + 1) for b in range(BANDS))), F.col("band") + 1))
-    return members.join(samples, "rep").select(F.xxhash64("cell", *(at(k) for k in range(level * FURTHER, (level + 1) * FURTHER))).alias("cell"), "band", "rep", "central")
+def shared_weights(texts: pa.Array, left: np.ndarray, right: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of each left text with each right one (places in texts), exact: a shingle that occurs n times is n features, each there or not, so that products of zeros and ones add up the lesser weights."""
+    of, ids, n = weighted(*flat(texts))
+    w = idf[(ids & np.uint64((1 << DF_BITS) - 1)).astype(np.int64)].astype(np.float64)
+    total = np.bincount(of, weights=n * w, minlength=len(texts))
+    at = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(at)) - (np.cumsum(n) - n)[at]
+    _, shingle = np.unique(ids, return_inverse=True)
+    key, first, feature = np.unique(shingle[at] * int(n.max(initial=1)) + nth, return_index=True, return_inverse=True)
+    weight, of = w[at][first], of[at]
+    sides = []
+    for side in (left, right):
+        place = np.full(len(texts), -1)
+        place[side] = np.arange(len(side))
+        here = np.flatnonzero(place[of] >= 0)
+        here = here[np.argsort(feature[here], kind="stable")]
+        sides.append((feature[here], place[of[here]], np.bincount(feature[here], minlength=len(key))))
+    (fa, a, na), (fb, b, nb) = sides
+    low = np.zeros(len(left) * len(right))
+    both = na * nb
+    scarce = (both > 0) & (both <= SCARCE * len(low))
+    own = np.flatnonzero(scarce[fa])
+    m, head = nb[fa[own]], (np.cumsum(nb) - nb)[fa[own]]
+    ends = np.cumsum(m)
+    j = 0
+    while j < len(own):  # each left occurrence beside all right ones
+        to = max(j + 1, int(np.searchsorted(ends, (ends[j - 1] if j else 0) + HELD, side="right")))
+        k = m[j:to]
+        row = np.repeat(own[j:to], k)
+        other = np.repeat(head[j:to] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        low += np.bincount(a[row] * len(right) + b[other], weights=weight[fa[row]], minlength=len(low))
+        j = to
+    low = low.reshape(len(left), len(right))
+    rest = np.flatnonzero((both > 0) & ~scarce)
+    width = max(1, HELD // max(len(left), len(right), 1))
+    number = np.full(len(key), -1)
+    for j in range(0, len(rest), width):
+        some = rest[j : j + width]
+        number[:] = -1
+        number[some] = np.arange(len(some))
+        x, y = np.zeros((len(left), len(some))), np.zeros((len(right), len(some)))
+        ka, kb = number[fa] >= 0, number[fb] >= 0
+        x[a[ka], number[fa[ka]]] = weight[fa[ka]]
+        y[b[kb], number[fb[kb]]] = 1
+        low += x @ y.T
+    return low / np.maximum(total[left][:, None] + total[right][None] - low, 1e-12)
+
+
+def _all_pairs(members: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
+    """a, b of every pair of one cell and of different components with similarity >= least, of rows cell, rep, comp, main (the cell's largest component): no pair is left out, by samples or otherwise.
+
+    Members of a cell are dealt to blocks, those of its largest component to blocks of their own, which are not compared with one another; each two blocks meet in a group of their own.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        rep, comp, blk = (table[c].to_numpy() for c in ("rep", "comp", "blk"))
+        left, right = np.flatnonzero(blk == blk.min()), np.flatnonzero(blk == blk.max())
+        if table["lo"][0].as_py() < table["hi"][0].as_py() and blk.min() == blk.max():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        near = shared_weights(table["t"].combine_chunks(), left, right, weights.value) >= least
+        x, y = np.nonzero(near & (comp[left][:, None] != comp[right][None]))
+        x, y = rep[left[x]], rep[right[y]]
+        return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+    rows = members.select("cell", "rep", "comp", (F.col("comp") == F.col("main")).alias("own")).join(texts, "rep")
+    size = F.sum(F.octet_length("t"))
+    blocks = rows.groupBy("cell", "own").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int").alias("n"))
+    blocks = blocks.groupBy("cell").agg(F.max(F.when(F.col("own"), F.col("n"))).alias("n_own"), F.max(F.when(~F.col("own"), F.col("n"))).alias("n_other"))
+    place = F.xxhash64("rep", F.lit(5))
+    dealt = rows.join(blocks, "cell").withColumn("blk", F.when(F.col("own"), F.pmod(place, "n_own")).otherwise(F.col("n_own") + F.pmod(place, "n_other")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.when(F.col("own"), F.col("n_own")).otherwise(0), F.col("n_own") + F.col("n_other") - 1)))
+    dealt = dealt.select("cell", F.least("blk", "with").alias("lo"), F.greatest("blk", "with").alias("hi"), "rep", "comp", "blk", "t")
+    return dealt.groupBy("cell", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -181,9 +248,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     Repeated rows of a key count once; if they hold different texts, the one with the least hash stands. Other columns are not read, so they may have any names.
 
     Between classes, documents that share a band's cell are candidates. First each document is compared with the most central member of one of its cells, the most promising by samples. Then cells that still span several components
-    are finished: by all pairs of different components where these are few a member, other cells by their most central member and then in sub-cells that ask for more equal samples, so the pairs compared grow with the members, not with their square.
-    A pair may part on the way in all of its cells. Measured among 4,600 documents of one hot group most of whose pairs are just below the bound: 98 % of 130,000 pairs of 0.8 or more end up in one class; outside such groups all do. Cells of which no samples are left
-    have one more member a round compared with all others until no cell is open: no partner is ever capped. Pairs of which less than LEAST_ESTIMATE of the samples agree are taken for different (1 in 100,000 at similarity 0.8).
+    are finished: by all pairs of different components one by one where these are few a member. Other cells are compared with their most central member, and if they still span several components, all pairs of different components are compared in blocks,
+    whatever their number: no partner is ever capped, and every pair of a shared cell either is compared or is in one class already. A cell of n members of few likenesses so costs up to n * n / 2 comparisons, by products of matrices.
+    Pairs compared one by one of which less than LEAST_ESTIMATE of the samples agree are taken for different (1 in 100,000 at similarity 0.8).
     Every link is verified: weighted Jaccard similarity of the TF-IDF shingles >= least.
     """
     spark = docs.sparkSession
@@ -235,28 +302,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     first = members.join(pivots, "cell").where("rep <> p").select(F.col("rep").alias("m"), F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
     room = cells.count()
     compared(first, True, room)
-    was = None
-    for level in itertools.count():
+
+    def spanning(members: DataFrame) -> DataFrame:
+        """cell, band, rep, central, comp, main, share and few of the members of cells that span several components."""
         named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cell", "band", "rep", "central", F.coalesce("component", "rep").alias("comp"))
         sizes = named.groupBy("cell", "comp").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 2).alias("own"))
         apart = (F.col("n").cast("double") ** 2 - F.col("own")) / 2
-        spans = sizes.where("main.n < n").select("cell", F.col("main.comp").alias("main"), (apart / F.col("n")).alias("share"), (apart <= SMALL * (1 + level / 2) * F.col("n")).alias("few"))
-        still = durable(named.join(spans, "cell"), "open")
-        release(was)
-        was = still
-        rows, left = still.agg(F.count("*"), F.sum("share")).collect()[0]
-        if not rows:
-            break
-        if left <= room:  # not more than a pair for each membership there was: all at once
-            still = still.withColumn("few", F.lit(True))
-        few, many = still.where("few"), still.where("not few")
+        spans = sizes.where("main.n < n").select("cell", F.col("main.comp").alias("main"), (apart / F.col("n")).alias("share"), (apart <= SMALL * F.col("n")).alias("few"))
+        return durable(named.join(spans, "cell"), "open")
+
+    still = spanning(members)
+    rows, left = still.agg(F.count("*"), F.sum("share")).collect()[0]
+    if rows:
+        # not more than a pair for each membership there was: all at once
+        few, many = (still, still.limit(0)) if left <= room else (still.where("few"), still.where("not few"))
         other = few.where("comp <> main").select("cell", F.col("rep").alias("p"), F.col("comp").alias("pcomp"))
         pairs = few.join(other, "cell").where("comp <> pcomp and (comp = main or rep < p)").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
         stars = many.join(_central(many, "comp"), "cell").where("comp <> pcomp").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
         compared(pairs.union(stars).distinct().select(F.col("a").alias("m"), "a", "b"), False, rows * SMALL)
-        many = many.select("cell", "band", "rep", "central")
-        members = _split(many, samples.select("rep", "samples"), level) if (level + 1) * FURTHER <= len(LATER[0]) else many.join(_central(still.where("not few")), "cell").where("rep <> p").drop("p")
-    release(was, cells, texts, samples, *written)
+        if left > room:
+            rest = spanning(many.select("cell", "band", "rep", "central"))
+            more = durable(_all_pairs(rest, texts, weights, least), "pairs")
+            if not more.isEmpty():
+                links.append(more)
+                was, labels = labels, components(functools.reduce(DataFrame.union, links), "labels")
+                release(was)
+            written.extend((rest, more))
+    written.append(still)
+    release(cells, texts, samples, *written)
     member = sig.select("id", "c1", "c2").join(same, ["c1", "c2"]).join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     every = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id")).distinct()
     return every.join(member.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
