@@ -100,3 +100,32 @@ def test_block_similarities_as_plain_loops(monkeypatch, scarce):
         for y, j in enumerate(right):
             low = sum(min(v, bags[j].get(g, 0)) for g, v in bags[i].items())
             assert got[x, y] == pytest.approx(low / max(sum(bags[i].values()) + sum(bags[j].values()) - low, 1e-12))
+
+
+def test_latent_basis_of_all_documents(spark):
+    """The basis diagonalises the passages of all documents and the items, which weigh as much as they."""
+    rng, draw = corpus(7, 80, 1)
+    texts, items = [draw(rng.randint(1, 150), 1) for _ in range(50)], [draw(40, 1) for _ in range(5)]
+    every = sorted({w for t in texts + items for w in t})
+    raw, offs = decontaminate.flat(pa.array(every))
+    h = decontaminate._hashes(raw, offs)[0]
+    order = np.argsort(h)
+    place, idf = {every[k]: j for j, k in enumerate(order)}, 1 + np.random.default_rng(1).random(len(every))
+    index = decontaminate.Index(h[order], idf, [(k, np.array([place[w] for w in t])) for k, t in enumerate(items)])
+
+    def plain(rows):
+        out = np.zeros((len(every), len(every)))
+        for t in rows:
+            for k in range(0, len(t), decontaminate.BLOCK):
+                p = np.zeros(len(every))
+                for w in t[k : k + 2 * decontaminate.BLOCK]:
+                    p[place[w]] += idf[place[w]]
+                out += np.outer(p, p)
+        return out, sum(2 * idf[place[w]] ** 2 for t in rows for w in t)
+
+    (a, ea), (b, eb) = plain(texts), plain(items)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, t string").repartition(3)
+    decontaminate._fit(docs, index, [" ".join(t) for t in items])
+    small = index.basis.T.astype(float) @ (a + b * (ea / eb)) @ index.basis
+    assert np.abs(small - np.diag(np.diag(small))).max() < 1e-4 * small.max()
+    assert decontaminate._product(docs.limit(0), index, index.basis)[1] == 0

@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.base import bounded_batches, column, durable, flat, release, run_hashes, slices, summed, trimmed, words
+from textloom.llm.base import bounded_batches, column, flat, run_hashes, slices, summed, trimmed, words
 
 #: Words of a block; a passage is two neighbouring blocks.
 BLOCK = 32
 #: A word in more than this share of all blocks outside windows that hold much of its item is common; an item with fewer than FEW rarer words is compared by all its words.
 COMMON, FEW = 0.01, 4
-#: Latent dimensions, extra random ones, and about how many documents' passages the basis is fitted on beside all items (index fitting only; every passage is searched).
-RANK, EXTRA, FIT_DOCS = 192, 16, 4000
+#: Latent dimensions, extra random ones, and words of which the sums of a fit travel together.
+RANK, EXTRA, TOGETHER = 192, 16, 512
 #: Shares of an item's words in common order that decide: with the answer, and without.
 WITH_ANSWER, ALONE = 0.5, 0.75
 #: An item's answer: so many of its last compared words, of which half must occur.
@@ -134,41 +134,41 @@ def _times(raw: np.ndarray, offs: np.ndarray, index: Index, find: Lookup, omega:
     return z, float((w.astype(float) ** 2).sum() * 2)
 
 
-def _sample_product(sample: DataFrame, index: Index, omega: np.ndarray) -> tuple[np.ndarray, float]:
-    shared = sample.sparkSession.sparkContext.broadcast((index, omega))
+def _product(docs: DataFrame, index: Index, omega: np.ndarray) -> tuple[np.ndarray, float]:
+    """_times over all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast((index, omega))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         idx, om = shared.value
-        z, energy, find = np.zeros_like(om), 0.0, Lookup(idx.vocab)
+        z, energy, find = np.zeros(om.shape), 0.0, Lookup(idx.vocab)
         for batch in batches:
             for part in slices(batch, "t", CHUNK):
                 a, b = _times(*flat(column(part, "t")), idx, find, om)
                 z += a
                 energy += b
-        fixed = np.r_[z.astype(float).ravel(), energy]
         # sums travel as integers: two to the 20th parts
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int32()), pa.array([np.round(fixed * (1 << 20)).astype(np.int64).tobytes()], pa.binary())], names=["part", "block", "counts"])
+        for k, x in enumerate([np.array([energy]), *(z[j : j + TOGETHER] for j in range(0, len(z), TOGETHER))]):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([k], pa.int32()), pa.array([np.round(x * (1 << 20)).astype(np.int64).tobytes()], pa.binary())], names=["part", "block", "counts"])
 
-    got = summed(sample.mapInArrow(run, "part int, block int, counts binary")).get(0, np.zeros(omega.size + 1, np.int64)) / (1 << 20)
-    return got[:-1].reshape(omega.shape), float(got[-1])
+    got = summed(docs.select("t").mapInArrow(lambda it: trimmed(run(it)), "part int, block int, counts binary"))
+    if not got:
+        return np.zeros(omega.shape), 0.0
+    return np.concatenate([got[k] for k in range(1, len(got))]).reshape(omega.shape) / (1 << 20), float(got[0][0]) / (1 << 20)
 
 
-def _fit(docs: DataFrame, index: Index, texts: list[str], n_docs: int) -> None:
-    """Randomised SVD of items and sampled passages: a random test matrix, two products with A'A, and the eigenvectors of the small projection. Items weigh as much as all sampled passages together."""
-    share = min(1.0, FIT_DOCS / max(n_docs, 1))
-    sample = durable(docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("t"), "sample")
+def _fit(docs: DataFrame, index: Index, texts: list[str]) -> None:
+    """Randomised SVD of items and the passages of all documents: a random test matrix, two products with A'A, and the eigenvectors of the small projection. Items weigh as much as all passages together."""
     raw, offs = flat(pa.array(texts, pa.string()))
     size, find = min(RANK + EXTRA, len(index.vocab)), Lookup(index.vocab)
     q = np.linalg.qr(np.random.default_rng(5).standard_normal((len(index.vocab), size)))[0].astype(np.float32)
     for step in range(2):
-        a, ea = _sample_product(sample, index, q)
+        a, ea = _product(docs, index, q)
         b, eb = _times(raw, offs, index, find, q)
         z = a + b * (ea / eb if ea > 0 and eb > 0 else 1.0)
         if step == 0:
             q = np.linalg.qr(z)[0].astype(np.float32)
-    release(sample)
     value, vector = np.linalg.eigh(q.T.astype(float) @ z)
     index.basis = np.ascontiguousarray((q @ vector[:, np.argsort(-value)[:RANK]]).astype(np.float32))
     term, block, _, doc = _tokens(raw, offs, find)
@@ -402,7 +402,7 @@ def _leaks_of(spark, src: DataFrame, rows: list) -> DataFrame:
     texts = [t for _, t in rows]
     h, first = _hashes(*flat(pa.array(texts, pa.string())))
     every = np.unique(h)
-    df, n_blocks, n_docs = _frequencies(src, every)
+    df, n_blocks, _ = _frequencies(src, every)
     _, at = Lookup(every)(h)
     # copies of a leak are no sign of a common word: their windows, by all words of the item, do not count
     texts_of = [(j, at[first[j] : first[j + 1]]) for j in range(len(rows)) if first[j + 1] > first[j]]
@@ -427,7 +427,7 @@ def _leaks_of(spark, src: DataFrame, rows: list) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, item_id long, lcs double, answer double, cosine double")
     index.items = [index.items[k] for k in used]
     index.strides = _strides(index, np.diff(first)[used], df[kept] > COMMON * n_blocks)
-    _fit(src, index, [texts[k] for k in used], n_docs)
+    _fit(src, index, [texts[k] for k in used])
     shared = spark.sparkContext.broadcast(index)
     return src.mapInArrow(lambda it: trimmed(_search(it, shared)), "doc_id long, item_id long, lcs double, answer double, cosine double")
 
