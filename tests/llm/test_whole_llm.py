@@ -83,6 +83,19 @@ def test_hot_group_loses_no_link(spark, monkeypatch):
     assert sum(got[i] != got[j] for i, j in zip(x.tolist(), y.tolist(), strict=True)) == 0
 
 
+def test_pipeline_stage_of_a_hot_group(spark, monkeypatch):
+    """The pipeline's stage keeps one document of each near pair of a cell that holds all documents."""
+    sign = neardup.signatures
+    monkeypatch.setattr(neardup, "signatures", lambda *a: sign(*a).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    rng, draw = corpus(8, 3000, 1)
+    root, docs = draw(100, 1), []
+    for k in range(0, 120, 2):
+        one = root + draw(60, 1)
+        docs += [(k, " ".join(one)), (k + 1, " ".join([*one[:-1], f"x{k}"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in neardup.stage(spark, df, "").select("doc_id").collect()) == list(range(0, 120, 2))
+
+
 @pytest.mark.parametrize("scarce", [0, 1 / 128, 1])
 def test_block_similarities_as_plain_loops(monkeypatch, scarce):
     monkeypatch.setattr(neardup, "SCARCE", scarce)
