@@ -96,6 +96,19 @@ def test_pipeline_stage_of_a_hot_group(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in neardup.stage(spark, df, "").select("doc_id").collect()) == list(range(0, 120, 2))
 
 
+@pytest.mark.parametrize("n", [4, 12, 24])
+def test_samples_drop_no_candidates(spark, monkeypatch, n):
+    """Samples that agree nowhere only put a comparison off: the two near copies of a cell are one class, whether its pairs are compared all at once, one by one or in blocks."""
+    sign = neardup.signatures
+    monkeypatch.setattr(neardup, "signatures", lambda *a: sign(*a).withColumn("bands", F.array(F.lit(1).cast("long"))).withColumn("samples", F.transform("samples", lambda _: F.col("id").cast("int"))))
+    _, draw = corpus(8, 2000, 10)
+    docs = [(k, " ".join(draw(100, 1))) for k in range(n - 1)]
+    docs.append((n - 1, docs[1][1] + " more"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert dict(neardup.near_duplicates(df).collect()) == {k: k if k < n - 1 else 1 for k in range(n)}
+    assert {r["doc_id"] for r in neardup.stage(spark, df, "").collect()} == set(range(n - 1))
+
+
 @pytest.mark.parametrize("scarce", [0, 1 / 128, 1])
 def test_block_similarities_as_plain_loops(monkeypatch, scarce):
     monkeypatch.setattr(neardup, "SCARCE", scarce)

@@ -17,7 +17,7 @@ WIDTH, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 4
 #: Document frequencies are kept for shingles hashed into so many buckets, over all documents (4 MB of weights broadcast, whatever the corpus).
 DF_BITS, BLOCKS = 20, 64
-#: Pairs whose samples agree on less than this share are not worth the exact comparison: over four standard deviations below SIMILAR.
+#: Pairs whose samples agree on less than this share (over four standard deviations below SIMILAR) are not compared at first, only if they are still of different components at the end.
 LEAST_ESTIMATE = 0.55
 CHUNK, DOCS = 1 << 18, 4096
 #: Pairs of different components of a cell are compared one by one while they are at most SMALL for each member; other cells in blocks of about so many members and bytes of text, all pairs of two blocks at once.
@@ -248,9 +248,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     Repeated rows of a key count once; if they hold different texts, the one with the least hash stands. Other columns are not read, so they may have any names.
 
     Between classes, documents that share a band's cell are candidates. First each document is compared with the most central member of one of its cells, the most promising by samples. Then cells that still span several components
-    are finished: by all pairs of different components one by one where these are few a member. Other cells are compared with their most central member, and if they still span several components, all pairs of different components are compared in blocks,
+    are finished: by all pairs of different components one by one where these are few a member, whatever their samples say. Other cells are compared with their most central member, and if they still span several components, all pairs of different components are compared in blocks,
     whatever their number: no partner is ever capped, and every pair of a shared cell either is compared or is in one class already. A cell of n members of few likenesses so costs up to n * n / 2 comparisons, by products of matrices.
-    Pairs compared one by one of which less than LEAST_ESTIMATE of the samples agree are taken for different (1 in 100,000 at similarity 0.8).
+    Samples only choose which pairs come first: no pair of a cell is taken for different by them.
     Every link is verified: weighted Jaccard similarity of the TF-IDF shingles >= least.
     """
     spark = docs.sparkSession
@@ -273,25 +273,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     links: list[DataFrame] = []
     labels = None
 
-    def compared(pairs: DataFrame, best: bool, rows: int) -> None:
-        """Compare pairs m, a, b of a < b by samples and then by texts; with best, of each m the most promising one. New links give new labels. rows: about how many pairs there are, which tables are sized by."""
+    def promising(pairs: DataFrame, rows: int) -> DataFrame:
+        """a, b: of the pairs m, a, b of each m the one whose samples agree most, if these agree on LEAST_ESTIMATE of all. rows: about how many pairs there are, which tables are sized by."""
+        for k in "ab":
+            pairs = pairs.join(samples.select(F.col("rep").alias(k), F.col("samples").alias(f"s{k}")), k)
+        est = durable(_estimate(pairs).coalesce(max(1, rows // PAIRS)), "est")
+        written.append(est)
+        return est.where(F.col("est") >= bar).groupBy("m").agg(F.max(F.struct("est", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+
+    def compared(pairs: DataFrame, rows: int) -> None:
+        """Compare the texts of all pairs a, b of a < b that were not compared before. New links give new labels. rows: as above."""
         nonlocal labels
-        parts = max(1, rows // PAIRS)
         if tested:
             pairs = pairs.join(functools.reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
         for k in "ab":
-            pairs = pairs.join(samples.select(F.col("rep").alias(k), F.col("samples").alias(f"s{k}")), k)
-        est = durable(_estimate(pairs).coalesce(parts), "est")
-        near = est.where(F.col("est") >= bar)
-        if best:
-            near = near.groupBy("m").agg(F.max(F.struct("est", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-        else:
-            near = near.select("a", "b")
-        for k in "ab":
-            near = near.join(texts.select(F.col("rep").alias(k), F.col("t").alias(f"t{k}")), k)
-        seen = durable(_verify(near, weights).coalesce(max(parts, CORES)), "seen")
-        written.extend((est, seen))
-        tested.extend((seen.select("a", "b"), est.where(F.col("est") < bar).select("a", "b")))
+            pairs = pairs.join(texts.select(F.col("rep").alias(k), F.col("t").alias(f"t{k}")), k)
+        seen = durable(_verify(pairs, weights).coalesce(max(1, rows // PAIRS, CORES)), "seen")
+        written.append(seen)
+        tested.append(seen.select("a", "b"))
         new = seen.where(F.col("similar") >= least).select("a", "b")
         links.append(new)
         if labels is None or not new.isEmpty():
@@ -301,7 +300,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     pivots = _central(members)
     first = members.join(pivots, "cell").where("rep <> p").select(F.col("rep").alias("m"), F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
     room = cells.count()
-    compared(first, True, room)
+    compared(promising(first, room), room)
 
     def spanning(members: DataFrame) -> DataFrame:
         """cell, band, rep, central, comp, main, share and few of the members of cells that span several components."""
@@ -319,7 +318,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         other = few.where("comp <> main").select("cell", F.col("rep").alias("p"), F.col("comp").alias("pcomp"))
         pairs = few.join(other, "cell").where("comp <> pcomp and (comp = main or rep < p)").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
         stars = many.join(_central(many, "comp"), "cell").where("comp <> pcomp").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-        compared(pairs.union(stars).distinct().select(F.col("a").alias("m"), "a", "b"), False, rows * SMALL)
+        compared(pairs.union(stars).distinct(), rows * SMALL)
         if left > room:
             rest = spanning(many.select("cell", "band", "rep", "central"))
             more = durable(_all_pairs(rest, texts, weights, least), "pairs")
