@@ -1,6 +1,7 @@
 """Near copies, decontamination and URL lists do the whole job: no pairs, words, prefixes or windows are left out."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -155,3 +156,40 @@ def test_latent_basis_of_all_documents(spark):
     small = index.basis.T.astype(float) @ (a + b * (ea / eb)) @ index.basis
     assert np.abs(small - np.diag(np.diag(small))).max() < 1e-4 * small.max()
     assert decontaminate._product(docs.limit(0), index, index.basis)[1] == 0
+
+
+@pytest.mark.parametrize(("many", "cells"), [(255, 1 << 22), (2, 1 << 22), (255, 200)])
+def test_candidates_as_plain_counts(monkeypatch, many, cells):
+    """Windows are compared with an item if they have half of its words, each as often as the item at most, and no others are."""
+    monkeypatch.setattr(decontaminate, "MANY", many)
+    monkeypatch.setattr(decontaminate, "CELLS", cells)
+    rng, draw = corpus(9, 60, 1)
+    items = [draw(rng.randint(1, 30), rng.random()) + ["w0"] * rng.choice([0, 5, 20]) for _ in range(30)]
+    texts = [draw(rng.randint(0, 300), rng.random()) + rng.choice([[], ["w0"] * 9, *items]) for _ in range(20)]
+    every = sorted({w for t in items for w in t})
+    h = decontaminate._hashes(*decontaminate.flat(pa.array(every)))[0]
+    order = np.argsort(h)
+    place = {every[k]: j for j, k in enumerate(order)}
+    index = decontaminate.Index(h[order], np.ones(len(h)), [(k, np.array([place[w] for w in t])) for k, t in enumerate(items)])
+    strides = decontaminate._strides(index, np.array([len(t) for t in items]), np.zeros(len(h), bool))
+    term, block, _, doc = decontaminate._tokens(*decontaminate.flat(pa.array([" ".join(t) for t in texts])), decontaminate.Lookup(index.vocab))
+    got, plain = set(), set()
+    for stride, postings in strides:
+        for first, last, j in decontaminate._candidates(term, block, doc, stride, postings):
+            got |= set(zip(first.tolist(), last.tolist(), j.tolist(), strict=True))
+        for d in range(len(texts)):
+            own = np.flatnonzero(doc == d)
+            for lo in own[::stride].tolist():
+                hi = min(lo + 2 * stride, int(own[-1]) + 1)
+                there = Counter(texts[d][(lo - own[0]) * decontaminate.BLOCK : (hi - own[0]) * decontaminate.BLOCK])
+                plain |= {(lo, hi, j) for j in postings[0].tolist() if 2 * (Counter(items[j]) & there).total() >= len(items[j])}
+    assert plain and (got == plain if many == 255 else got >= plain)
+
+
+@pytest.mark.parametrize("piece", [2, 3, 32])
+def test_sums_of_runs(monkeypatch, piece):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    rng = np.random.default_rng(2)
+    rows, n = rng.integers(0, 9, (50, 4)).astype(np.float32), np.r_[rng.integers(1, 9, 30), 200, 1]
+    at, head = rng.integers(0, 50, n.sum()), np.cumsum(n) - n
+    assert np.array_equal(decontaminate._sums(rows, at, head), np.add.reduceat(rows[at], head, axis=0))

@@ -27,6 +27,10 @@ ITEMS, ITEM_BYTES = 20_000, 1 << 19
 CHUNK = 1 << 18
 #: An item of fewer words than SHORT is looked for in so many words a word of it: a few words come in order by chance in a whole window.
 SHORT, STRETCH = 16, 2
+#: Rows of a run that are added up one after another.
+PIECE = 32
+#: Counts of a word in a window from here on are taken for any number.
+MANY = 255
 #: Counts of windows by items that are held at once.
 CELLS = 1 << 22
 
@@ -105,8 +109,9 @@ def _passages(block: np.ndarray, doc: np.ndarray, value: np.ndarray) -> np.ndarr
     """Sum of value (a row for each block) over each block and the next one of its document."""
     out = value.copy()
     if len(doc) > 1:
-        same = doc[1:] == doc[:-1]
-        out[:-1][same] += value[1:][same]
+        out[:-1] += value[1:]
+        last = np.flatnonzero(doc[1:] != doc[:-1])
+        out[last] = value[last]
     return out
 
 
@@ -118,36 +123,54 @@ def _block_sums(n: int, block: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _times(raw: np.ndarray, offs: np.ndarray, index: Index, find: Lookup, omega: np.ndarray) -> tuple[np.ndarray, float]:
-    """A' A omega for the passages A of the texts, and A's squared norm."""
+def _sums(rows: np.ndarray, at: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Sum of rows[at[i]] over each run of places i that begins at a head: the first rows of all runs, then the second ones, and so on; runs of over PIECE are summed in pieces."""
+    n = np.diff(head, append=len(at))
+    if n.max(initial=0) > PIECE:
+        pieces = -(-n // PIECE)
+        first = np.cumsum(pieces) - pieces
+        begins = np.repeat(head - first * PIECE, pieces) + np.arange(pieces.sum()) * PIECE
+        return _sums(_sums(rows, at, begins), np.arange(len(begins)), first)
+    o = np.argsort(-n, kind="stable")
+    begins, longer = head[o], len(n) - np.cumsum(np.bincount(n, minlength=1))
+    total = rows.take(at[begins], axis=0)
+    for k in range(1, int(n.max(initial=0))):
+        total[: longer[k]] += rows.take(at[begins[: longer[k]] + k], axis=0)
+    out = np.empty_like(total)
+    out[o] = total
+    return out
+
+
+def _add_times(raw: np.ndarray, offs: np.ndarray, index: Index, find: Lookup, scaled: np.ndarray, z: np.ndarray) -> float:
+    """Add C' C scaled to z, for the counts C of words in the passages of the texts; the squared norm of the passages A, which are C times the words' weights."""
     term, block, _, doc = _tokens(raw, offs, find)
-    w = index.idf[term].astype(np.float32)
-    z = np.zeros_like(omega)
-    if len(term):
-        y = _passages(block, doc, _block_sums(len(doc), block, w[:, None] * omega[term]))
-        back = y.copy()
-        same = np.r_[False, doc[1:] == doc[:-1]]
-        back[same] += y[:-1][same[1:]]
-        o = np.argsort(term, kind="stable")
-        head = np.flatnonzero(np.r_[True, term[o][1:] != term[o][:-1]])
-        z[term[o][head]] = np.add.reduceat((w[:, None] * back[block])[o], head, axis=0)
-    return z, float((w.astype(float) ** 2).sum() * 2)
+    if not len(term):
+        return 0.0
+    value = np.zeros((len(doc), scaled.shape[1]), scaled.dtype)
+    head = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    value[block[head]] = _sums(scaled, term, head)
+    y = _passages(block, doc, value)
+    back = np.ascontiguousarray(_passages(block, doc[::-1], y[::-1])[::-1])  # each block and the one before it
+    o = np.argsort(term, kind="stable")
+    head = np.flatnonzero(np.diff(term[o], prepend=-1))
+    z[term[o[head]]] += _sums(back, block[o], head)
+    return float((index.idf[term].astype(np.float32).astype(float) ** 2).sum() * 2)
 
 
 def _product(docs: DataFrame, index: Index, omega: np.ndarray) -> tuple[np.ndarray, float]:
-    """_times over all documents."""
+    """A' A omega for the passages A of all documents, and A's squared norm."""
     shared = docs.sparkSession.sparkContext.broadcast((index, omega))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         idx, om = shared.value
-        z, energy, find = np.zeros(om.shape), 0.0, Lookup(idx.vocab)
+        z, energy, find, weight = np.zeros(om.shape), 0.0, Lookup(idx.vocab), idx.idf.astype(np.float32)[:, None]
+        scaled = weight * om
         for batch in batches:
             for part in slices(batch, "t", CHUNK):
-                a, b = _times(*flat(column(part, "t")), idx, find, om)
-                z += a
-                energy += b
+                energy += _add_times(*flat(column(part, "t")), idx, find, scaled, z)
+        z *= weight
         # sums travel as integers: two to the 20th parts
         for k, x in enumerate([np.array([energy]), *(z[j : j + TOGETHER] for j in range(0, len(z), TOGETHER))]):
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([k], pa.int32()), pa.array([np.round(x * (1 << 20)).astype(np.int64).tobytes()], pa.binary())], names=["part", "block", "counts"])
@@ -161,11 +184,14 @@ def _product(docs: DataFrame, index: Index, omega: np.ndarray) -> tuple[np.ndarr
 def _fit(docs: DataFrame, index: Index, texts: list[str]) -> None:
     """Randomised SVD of items and the passages of all documents: a random test matrix, two products with A'A, and the eigenvectors of the small projection. Items weigh as much as all passages together."""
     raw, offs = flat(pa.array(texts, pa.string()))
+    weight = index.idf.astype(np.float32)[:, None]
     size, find = min(RANK + EXTRA, len(index.vocab)), Lookup(index.vocab)
     q = np.linalg.qr(np.random.default_rng(5).standard_normal((len(index.vocab), size)))[0].astype(np.float32)
     for step in range(2):
         a, ea = _product(docs, index, q)
-        b, eb = _times(raw, offs, index, find, q)
+        b = np.zeros(q.shape)
+        eb = _add_times(raw, offs, index, find, weight * q, b)
+        b *= weight
         z = a + b * (ea / eb if ea > 0 and eb > 0 else 1.0)
         if step == 0:
             q = np.linalg.qr(z)[0].astype(np.float32)
@@ -190,11 +216,9 @@ def masks(words: list) -> dict:
 def common_subsequence(a: dict, n: int, b: list) -> int:
     """Length of the longest common subsequence of n words, given by masks(), and others: a row of the table is an integer of a bit for each of the n, set where it does not grow."""
     full = row = (1 << n) - 1
-    get = a.get
-    for x in b:
-        if m := get(x):
-            both = row & m
-            row = ((row + both) | (row - both)) & full
+    for m in filter(None, map(a.get, b)):
+        both = row & m
+        row = ((row + both) | (row - both)) & full
     return n - row.bit_count()
 
 
@@ -263,7 +287,7 @@ def _strides(index: Index, size: np.ndarray, common: np.ndarray) -> list:
 
 
 def _candidates(term: np.ndarray, block: np.ndarray, doc: np.ndarray, stride: int, postings: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """First and last block (exclusive) and item of all windows that have a share of WITH_ANSWER of the item's words: no common order can be longer."""
+    """First and last block (exclusive) and item of all windows that have a share of WITH_ANSWER of the item's words, each as often as the item at most: no common order can be longer."""
     chosen, head, item, times, need, (edges, words_of, counts, least) = postings
     start = np.searchsorted(doc, doc)  # the first block of each block's document
     stop = np.searchsorted(doc, doc, side="right")
@@ -278,17 +302,23 @@ def _candidates(term: np.ndarray, block: np.ndarray, doc: np.ndarray, stride: in
     step = max(1, min(CELLS // len(chosen), CELLS // size))
     for lo in range(0, len(lead), step):
         hi = min(lo + step, len(lead))
-        held = np.zeros((hi - lo + 1, size), bool)
         own = slice(edge[lo], edge[min(hi + 1, len(lead))])
-        held[u[own] - lo, term[own]] = True
-        held[:-1] |= held[1:] & follows[lo:hi, None]
-        window, t = np.divmod(np.flatnonzero(held[:-1]), size)
+        here = u[own]
+        key = ((here - lo) * size + term[own]).astype(np.int32)  # at most CELLS, or a window of one vocabulary
+        key = np.sort(np.concatenate([key[here < hi], key[(here > lo) & follows[here - 1]] - np.int32(size)]))
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
+        often = np.diff(begins, append=len(key))
+        key = key[begins].astype(np.int64)
+        held = np.zeros((hi - lo) * size, np.uint8)
+        held[key] = np.minimum(often, MANY)
+        window = np.repeat(np.arange(hi - lo), np.diff(np.searchsorted(key, np.arange(hi - lo + 1) * size)))
+        t = key - window * size
         m = n[t]
         if not m.sum():
             continue
         row = np.repeat(np.arange(len(m)), m)
         at = head[t][row] + np.arange(m.sum()) - (np.cumsum(m) - m)[row]
-        count = np.bincount(window[row] * len(chosen) + item[at], weights=times[at], minlength=(hi - lo) * len(chosen)).reshape(hi - lo, -1)
+        count = np.bincount(window[row] * len(chosen) + item[at], weights=np.minimum(times[at], often[row]), minlength=(hi - lo) * len(chosen)).reshape(hi - lo, -1)
         x, y = np.nonzero(count >= need)
         keep = np.zeros(len(x), bool)
         for k in range(0, len(x), 1 << 15):
@@ -296,7 +326,8 @@ def _candidates(term: np.ndarray, block: np.ndarray, doc: np.ndarray, stride: in
             m = edges[v + 1] - edges[v]
             row = np.repeat(np.arange(len(v)), m)
             at = np.arange(m.sum()) - (np.cumsum(m) - m)[row] + edges[v][row]
-            keep[k : k + (1 << 15)] = np.bincount(row, weights=counts[at] * held[w[row], words_of[at]], minlength=len(v)) >= least[v]
+            there = held[w[row] * size + words_of[at]]
+            keep[k : k + (1 << 15)] = np.bincount(row, weights=np.where(there < MANY, np.minimum(counts[at], there), counts[at]), minlength=len(v)) >= least[v]
         x, y = x[keep], y[keep]
         first = lead[lo + x]
         yield first, np.minimum(first + 2 * stride, stop[first]), chosen[y]
@@ -320,7 +351,7 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
         for part in slices(batch, "t", CHUNK):
             ids = column(part, "id").to_numpy()
             term, block, word, doc = _tokens(*flat(column(part, "t")), find)
-            first = np.searchsorted(block, np.arange(len(doc) + 1))
+            first, every = np.searchsorted(block, np.arange(len(doc) + 1)).tolist(), term.tolist()
             out = {}
             for stride, postings in index.strides if len(term) else []:
                 for lows, highs, items in _candidates(term, block, doc, stride, postings):
@@ -329,7 +360,7 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
                         if out.get(key, (0,))[0] >= 1:
                             continue
                         s = slice(first[lo], first[hi])
-                        there = term[s].tolist()
+                        there = every[s]
                         order, begin, end = _order(items_of[j], there, word[s].tolist() if items_of[j][1] < SHORT else [])
                         lcs = order / items_of[j][1]
                         if lcs < WITH_ANSWER:
@@ -360,13 +391,13 @@ def _copied(docs: DataFrame, index: Index) -> list:
         for batch in batches:
             for part in slices(batch, "t", CHUNK):
                 term, block, word, doc = _tokens(*flat(column(part, "t")), find)
-                first = np.searchsorted(block, np.arange(len(doc) + 1))
+                first, every = np.searchsorted(block, np.arange(len(doc) + 1)).tolist(), term.tolist()
                 for stride, postings in idx.strides if len(term) else []:
                     found = [np.zeros(0, np.int64)]
                     for lows, highs, items in _candidates(term, block, doc, stride, postings):
                         for lo, hi, j in zip(lows.tolist(), highs.tolist(), items.tolist(), strict=True):
                             s = slice(first[lo], first[hi])
-                            if _order(items_of[j], term[s].tolist(), word[s].tolist() if items_of[j][1] < SHORT else [])[0] >= WITH_ANSWER * items_of[j][1]:
+                            if _order(items_of[j], every[s], word[s].tolist() if items_of[j][1] < SHORT else [])[0] >= WITH_ANSWER * items_of[j][1]:
                                 place = np.minimum(np.searchsorted(own[j], term[s]), len(own[j]) - 1)
                                 hit = own[j][place] == term[s]
                                 found.append(block[s][hit] * at[-1] + at[j] + place[hit])
