@@ -410,6 +410,28 @@ def test_fixity(spark, tmp_path):
     assert [(r["seq"], r["pos"]) for r in fixity.read_warc(spark, str(tmp_path)).orderBy("seq").collect()] == [(k, k * len(one)) for k in range(3)]
 
 
+def test_fixity_shuffles_pages_once(spark, tmp_path):
+    rng = random.Random(6)
+    odd = [(None, "u", "no id"), (7, "b", "second by url"), (7, "a", "first by url é"), (7, "a", "z"), (102, None, "no url"), (11, "u", "gone"), (203, "u", None), (396, None, None), (1005, "u", "")]
+    rows = odd + [(2000 + k, f"u{k}", rng.randbytes(4000).hex()) for k in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+
+    def stages():
+        none = spark._jvm.java.util.ArrayList()
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    before = stages()
+    got = fixity.op6_fixity_audit(spark, str(tmp_path)).orderBy("file", "seq").collect()
+    assert sum(n for k, n in stages().items() if k not in before) < 1.5 * sum(len(html or "") for _, _, html in rows)
+
+    good = fixity.pack(spark.read.parquet(str(tmp_path / "pages.parquet")))
+    text, page = F.col("record"), F.col("page_id")
+    hurt = F.when(page % 97 == 5, F.concat(F.lit("w"), F.substring(text, 2, 1 << 30))).when(page % 389 == 7, F.substring(text, 1, 40)).otherwise(text)
+    assert got == fixity.audit(good, good.where(page % 499 != 11).withColumn("record", hurt)).orderBy("file", "seq").collect()
+    assert {(r["file"][-2:], r["seq"], r["state"]) for r in got} >= {("00", 0, "changed"), ("00", 1, "missing on the right"), ("00", 2, "changed"), ("00", 4, "changed")}
+
+
 def test_damaged_warc(spark, tmp_path):
     import gzip
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.base import durable
+from textloom.llm.base import durable, release
 
 #: Children of a node, and levels above the records: a file holds at most FANOUT ** LEVELS records.
 FANOUT, LEVELS = 16, 4
@@ -75,12 +75,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, seq long, pos long, record binary")
 
 
+def digested(body: Column) -> Column:
+    """size and digest (SHA-256) of a record's bytes: all that the tree needs of them. A null record counts as empty."""
+    body = F.coalesce(body.cast("binary"), F.lit(b""))
+    return F.struct(F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("digest"))
+
+
 def leaves(records: DataFrame) -> DataFrame:
-    """file, seq, pos, size, hash of records file, seq, pos, record. The leaf hashes offset, size and bytes, so a moved record shows too. A null record counts as empty."""
-    body = F.coalesce(F.col("record").cast("binary"), F.lit(b""))
-    digest = F.sha2(body, 256)
-    size = F.octet_length(body)
-    return records.select("file", "seq", "pos", size.cast("long").alias("size"), F.sha2(F.concat_ws(":", "pos", size, digest), 256).alias("hash"))
+    """file, seq, pos, size, hash of records file, seq, pos, record."""
+    return leaves_of_digests(records.select("file", "seq", "pos", digested(F.col("record")).alias("x")).select("file", "seq", "pos", "x.size", "x.digest"))
+
+
+def leaves_of_digests(records: DataFrame) -> DataFrame:
+    """file, seq, pos, size, hash of records file, seq, pos, size, digest. The leaf hashes offset, size and bytes, so a moved record shows too."""
+    return records.select("file", "seq", "pos", "size", F.sha2(F.concat_ws(":", "pos", "size", "digest"), 256).alias("hash"))
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
@@ -99,9 +107,14 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     The roots of all files are compared first; each next level is compared below mismatching nodes only. Equal or empty replicas give no rows. Rows with a null file or seq are not audited;
     of records that share file and seq the least leaf hash stands for all. seq counts a file's records from 0 and stays below FANOUT ** LEVELS.
     """
+    return audit_leaves(leaves(left), leaves(right))
+
+
+def audit_leaves(left: DataFrame, right: DataFrame) -> DataFrame:
+    """audit of replicas whose records are leaves already."""
     side = []
     for k, records in (("l", left), ("r", right)):
-        leaf = leaves(records.where("file is not null and seq is not null")).groupBy("file", "seq").agg(F.min(F.struct("hash", "pos", "size")).alias("x")).select("file", "seq", "x.pos", "x.size", "x.hash")
+        leaf = records.where("file is not null and seq is not null").groupBy("file", "seq").agg(F.min(F.struct("hash", "pos", "size")).alias("x")).select("file", "seq", "x.pos", "x.size", "x.hash")
         side.append(durable(leaf, f"leaves-{k}"))
     a, b = (tree(x) for x in side)
     open_nodes = None
@@ -118,22 +131,41 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.withColumn("state", state)
 
 
+def page_records(pages: DataFrame) -> DataFrame:
+    """page_id, record of pages; a page id stands for at most one record, the first by url and html. The pages' bytes are shuffled for this."""
+    one = pages.where("page_id is not null").groupBy("page_id").agg(F.min(F.struct("url", "html")).alias("x"))
+    return one.select("page_id", record(F.col("x.url"), F.col("x.html")).alias("record"))
+
+
+def placed(rows: DataFrame, per_file: int = 1000) -> DataFrame:
+    """rows page_id, size and others with file, seq, pos of their records, in order of page_id, per_file ids a file."""
+    n = F.floor(F.col("page_id") / per_file)
+    w = Window.partitionBy(n).orderBy("page_id")
+    file = F.concat(F.lit("warc-"), F.lpad(n.cast("string"), 8, "0")).alias("file")
+    return rows.select("*", file, (F.row_number().over(w) - 1).cast("long").alias("seq"), (F.sum("size").over(w) - F.col("size")).alias("pos"))
+
+
 def pack(pages: DataFrame, per_file: int = 1000) -> DataFrame:
     """file, seq, pos, record for pages in order of page_id, per_file ids a file; a page id stands for at most one record, the first by url and html."""
-    one = pages.where("page_id is not null").groupBy("page_id").agg(F.min(F.struct("url", "html")).alias("x"))
-    rows = one.select(F.floor(F.col("page_id") / per_file).alias("n"), "page_id", record(F.col("x.url"), F.col("x.html")).alias("record"))
-    size = F.octet_length("record").cast("long")
-    w = Window.partitionBy("n").orderBy("page_id")
-    place = rows.select("n", "page_id", size.alias("size")).select("page_id", (F.row_number().over(w) - 1).cast("long").alias("seq"), (F.sum("size").over(w) - F.col("size")).alias("pos"))
-    return rows.join(place, "page_id").select(F.concat(F.lit("warc-"), F.lpad(F.col("n").cast("string"), 8, "0")).alias("file"), "seq", "pos", "record", "page_id")
+    rows = page_records(pages)
+    place = placed(rows.select("page_id", F.octet_length("record").cast("long").alias("size")), per_file)
+    return rows.join(place, "page_id").select("file", "seq", "pos", "record", "page_id")
 
 
 def op6_fixity_audit(spark, sf_dir: str) -> DataFrame:
-    """A replica of all pages' records with known damage is audited: one page in 97 has a changed character, one in 389 is cut short, one in 499 is gone."""
-    good = pack(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    """A replica of all pages' records with known damage is audited: one page in 97 has a changed character, one in 389 is cut short, one in 499 is gone.
+
+    Both replicas' records are digested where the pages are grouped, so the pages' bytes are shuffled once; only digests go on.
+    """
+    rows = page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     hurt = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("w"), F.substring("record", 2, 1 << 30))).when(F.col("page_id") % 389 == 7, F.substring("record", 1, 40)).otherwise(F.col("record"))
-    other = good.where("page_id % 499 <> 11").withColumn("record", hurt)
-    return audit(good, other)
+    both = rows.select("page_id", digested(F.col("record")).alias("good"), digested(hurt).alias("hurt")).withColumn("size", F.col("good.size"))
+    both = durable(placed(both).select("page_id", "file", "seq", "pos", "good", "hurt"), "digests")
+    good = both.select("file", "seq", "pos", "good.*")
+    other = both.where("page_id % 499 <> 11").select("file", "seq", "pos", "hurt.*")
+    out = audit_leaves(leaves_of_digests(good), leaves_of_digests(other))
+    release(both)
+    return out
 
 
 OP6_SQL = r"""
