@@ -90,3 +90,16 @@ def test_flagged_relevance(spark):
     rows = relevance.summary(relevance.flagged_pairs(docs, targets), targets).collect()
     assert [(r["flag_word"], r["target_word"], r["flag_flag"], r["target_flag"], r["total_num"], r["coef"]) for r in rows] == [("shop", "fast", "nz", "d", 2, 0.7)]
     assert rows[0]["sum_relevance"] == pytest.approx(1 + 0.67)
+
+
+def test_rounds_and_logarithms_are_those_of_sql(spark):
+    """Bit for bit, for halves at the last digit and logarithms that F.round and F.log2 give otherwise."""
+    import duckdb
+
+    from textloom.functions import text
+
+    con = duckdb.connect()
+    rows = spark.range(1, 2001).select(F.col("id"), (F.col("id") * 0.0000005).alias("x"))
+    got = {r["id"]: (r["r"], r["l"]) for r in rows.select("id", text.rounded(F.col("x"), 6).alias("r"), tfidf.log2(20 / F.col("id")).alias("l")).collect()}
+    want = {k: (r, x) for k, r, x in con.execute("SELECT id, round(id * 0.0000005::DOUBLE, 6), log2(20::BIGINT / id) FROM range(1, 2001) t(id)").fetchall()}
+    assert got == want
