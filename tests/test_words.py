@@ -103,3 +103,14 @@ def test_rounds_and_logarithms_are_those_of_sql(spark):
     got = {r["id"]: (r["r"], r["l"]) for r in rows.select("id", text.rounded(F.col("x"), 6).alias("r"), tfidf.log2(20 / F.col("id")).alias("l")).collect()}
     want = {k: (r, x) for k, r, x in con.execute("SELECT id, round(id * 0.0000005::DOUBLE, 6), log2(20::BIGINT / id) FROM range(1, 2001) t(id)").fetchall()}
     assert got == want
+
+
+def test_ranks_by_rounded_values_are_those_of_sql(spark):
+    """Halves at the ninth digit of s * s / n fall as in SQL."""
+    import duckdb
+
+    each = spark.range(1, 2001).select(F.col("id").alias("doc"), F.col("id").cast("string").alias("flag_word"), F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("x"))
+    each = each.select("doc", "flag_word", F.col("x").cast("string").alias("target_word"), F.sqrt((F.col("doc") + F.col("x")) * 0.000000001).alias("each"))
+    got = {(int(r["flag_word"]), float(r["target_word"])): r["rank_in_flag_word"] for r in relevance.summary(each).collect()}
+    sql = "SELECT id, x, rank() OVER (PARTITION BY id ORDER BY round(s * s / 1, 9) DESC) FROM (SELECT id, x, sqrt((id + x) * 0.000000001::DOUBLE) AS s FROM range(1, 2001) t(id), (SELECT unnest([0.25::DOUBLE, 0.5, 0.75]) AS x))"
+    assert got == {(k, x): r for k, x, r in duckdb.connect().execute(sql).fetchall()}
