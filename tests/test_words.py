@@ -114,3 +114,35 @@ def test_ranks_by_rounded_values_are_those_of_sql(spark):
     got = {(int(r["flag_word"]), float(r["target_word"])): r["rank_in_flag_word"] for r in relevance.summary(each).collect()}
     sql = "SELECT id, x, rank() OVER (PARTITION BY id ORDER BY round(s * s / 1, 9) DESC) FROM (SELECT id, x, sqrt((id + x) * 0.000000001::DOUBLE) AS s FROM range(1, 2001) t(id), (SELECT unnest([0.25::DOUBLE, 0.5, 0.75]) AS x))"
     assert got == {(k, x): r for k, x, r in duckdb.connect().execute(sql).fetchall()}
+
+
+def test_sparse_blocks_meet_quickly_and_exactly():
+    """Pairs that cannot reach a term's best so far cost a product in single precision; what stays is that of all pairs in double precision."""
+    import time
+
+    rng, n = np.random.default_rng(5), 2048
+    rows = []
+    for k in range(24):
+        x = (rng.random((n, 20)) < 0.5) * rng.random((n, 20))
+        x[:40] = 0
+        x[:40, k % 3] = 1  # many ties at one
+        at, docs = np.nonzero(x)
+        rows.append((x, {"size": n, "docs": [f"d{d}" for d in range(20)], "at": at.astype(np.int32).tobytes(), "codes": docs.astype(np.int32).tobytes(), "w": x[at, docs].tobytes()}))
+    left, best, began = similarity._Side(rows[5][1], ""), np.full((n, 50), -1, np.int64), time.monotonic()
+    for k, (_, row) in enumerate(rows):
+        similarity._meet(left, similarity._Side({f"{c}_b": v for c, v in row.items()}, "_b"), k, best, 0.55, 0.5, True)
+    assert time.monotonic() - began < 4  # over 7 s while all pairs were ranked in double precision
+    got = similarity._ranked(5, best).to_pydict()
+    x, y = rows[5][0][::97], np.concatenate([r[0] for r in rows])
+    own = (x > 0).sum(axis=1), (y > 0).sum(axis=1)
+    shared = (x > 0).astype(float) @ (y > 0).T
+    with np.errstate(all="ignore"):
+        sim = (x @ y.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1) * 0.5 + 0.5) * np.minimum(shared / (0.5 * np.maximum(own[0][:, None], own[1])), 1)
+    sim[(shared == 0) | ~(sim >= 0.55)] = -1
+    number = (np.repeat(np.arange(24), n) << similarity.PLACE) + np.tile(np.arange(n), 24)
+    found = {}
+    for a, b, m in zip(got["a"], got["b"], got["millionths"], strict=True):
+        found.setdefault(a, []).append((-m, b))
+    for i in range(len(x)):
+        m = np.floor(sim[i] * 1_000_000 + 0.5)
+        assert sorted(found.get((5 << similarity.PLACE) + 97 * i, [])) == sorted((-int(m[j]), int(number[j])) for j in np.flatnonzero(sim[i] >= 0))[:50]
