@@ -146,3 +146,16 @@ def test_sparse_blocks_meet_quickly_and_exactly():
     for i in range(len(x)):
         m = np.floor(sim[i] * 1_000_000 + 0.5)
         assert sorted(found.get((5 << similarity.PLACE) + 97 * i, [])) == sorted((-int(m[j]), int(number[j])) for j in np.flatnonzero(sim[i] >= 0))[:50]
+
+
+def test_weights_read_their_counts_once(spark):
+    """Texts are tokenized in one job, however often the counts are used."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    docs = spark.range(30).selectExpr("id % 3 AS doc", "array('a' || id % 5) AS tokens").mapInPandas(count, "doc long, tokens array<string>")
+    assert tfidf.weights(tfidf.term_counts(docs), 0).count() == 15 and seen.value == 30
