@@ -159,3 +159,23 @@ def test_weights_read_their_counts_once(spark):
 
     docs = spark.range(30).selectExpr("id % 3 AS doc", "array('a' || id % 5) AS tokens").mapInPandas(count, "doc long, tokens array<string>")
     assert tfidf.weights(tfidf.term_counts(docs), 0).count() == 15 and seen.value == 30
+
+
+def test_dense_blocks_send_on_their_best_only():
+    """However many blocks a block meets, it holds n rows of each vector; ties go to the least key."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, (3000, 8)).astype(float)
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    keys = rng.permutation(len(x))
+    best = similarity._Best(keys[:600], x[:600].copy().ravel(), 7)
+    for lo in range(0, len(x), 250):
+        best.meet(keys[lo : lo + 250], x[lo : lo + 250].copy().ravel())
+    got = best.rows().to_pydict()
+    assert len(got["a"]) == 600 * 7
+    found = {}
+    for a, b, s in zip(*got.values(), strict=True):
+        found.setdefault(a, []).append((-s, b))
+    for i in range(0, 600, 13):
+        s = np.einsum("ij,ij->i", np.repeat(x[i : i + 1], len(x), axis=0), x)
+        assert found[keys[i]] == sorted((-v, k) for v, k in zip(s, keys, strict=True) if k != keys[i])[:7]
