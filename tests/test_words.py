@@ -179,3 +179,19 @@ def test_dense_blocks_send_on_their_best_only():
     for i in range(0, 600, 13):
         s = np.einsum("ij,ij->i", np.repeat(x[i : i + 1], len(x), axis=0), x)
         assert found[keys[i]] == sorted((-v, k) for v, k in zip(s, keys, strict=True) if k != keys[i])[:7]
+
+
+def test_jaro_of_many_pairs_at_once():
+    """Matches and transpositions as by the definition, pair by pair, for strings of all lengths in few passes."""
+    from textloom.functions import jaro
+
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcé𝄞"), rng.integers(1, 30)))
+    one, two = [word() for _ in range(600)], [word() for _ in range(600)]
+    for least in (None, 1.0, 3.0):
+        got = jaro.places(one, two, least)
+        for k, (a, b) in enumerate(zip(one, two, strict=True)):
+            window, used = max(max(len(a), len(b)) / 2 - 1, -9 if least is None else least), []
+            for i, c in enumerate(a):
+                used += [j for j, x in enumerate(b) if x == c and abs(i - j) <= window and j not in used][:1]
+            assert (got[0][k], got[1][k]) == (len(used), sum(b[x] != b[y] for x, y in zip(used, sorted(used), strict=True)) / 2)
